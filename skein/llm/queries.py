@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding, urls
+from . import chat, decontaminate, media, packing, sharding, urls
 from .tables import table
 
 #: The URL rules (verdict, host/path).
@@ -14,6 +14,24 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.decode_media(media.encode_media(table(spark, sf_dir, "documents")), tensors=False)
+
+
+def op3_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.minimax_shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,7 +71,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_minimax_shards, op9_url_rules, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op3_simhash_windows, op4_dominance_packing, op8_minimax_shards, op9_url_rules, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
