@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, packing, sharding, urls
+from . import chat, decontaminate, media, overlap, packing, sharding, urls
 from .tables import table
 
 #: The URL rules (verdict, host/path).
@@ -24,6 +24,10 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(media.encode_media(table(spark, sf_dir, "documents")), tensors=False)
 
 
+def op2_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.shingle_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op3_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +75,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op3_simhash_windows, op4_dominance_packing, op8_minimax_shards, op9_url_rules, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_divide_skip, op3_simhash_windows, op4_dominance_packing, op8_minimax_shards, op9_url_rules, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
