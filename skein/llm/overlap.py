@@ -1,12 +1,16 @@
 """N-gram Jaccard join: documents whose shingle sets are similar, as connected components.
 
-Equal sets are one node, named by a 64-bit signature. Linked sets share a token among their first ones in any fixed
-order (prefix filter); the order here puts tokens that a counting sketch over all documents finds frequent last.
-Nodes that share such a token with the token's smallest node form candidate groups, which hold every link. In a group every
-node is compared with a pivot; the nodes not linked to it are compared with the whole group, block by block, by
-T-occurrence search: short inverted lists are merged with a heap, long ones probed by binary search (DivideSkip),
-and what reaches the required overlap is checked exactly. Links inside a component that is already known
-are skipped, so a group of near copies costs one comparison for each copy, not one for each pair.
+Equal sets are one node, named by a 64-bit signature.
+
+1. Coverage. A document with a link shares most of its shingles, so those of which too few occur anywhere else are
+   done. Shingle fingerprints are dealt by range, those seen twice are found there, and only counts by document go back.
+2. Prefixes. Of the documents left, linked ones share a token among their first ones in any fixed order; the order
+   here is by a counting sketch, frequent tokens last. Nodes that share such a token with the token's smallest node
+   form candidate groups, which hold every link.
+3. Search. In a group every node is compared with a pivot; the nodes not linked to it are compared with the whole
+   group, block by block, by T-occurrence search: short inverted lists are merged with a heap, long ones probed by
+   binary search (DivideSkip), and what reaches the required overlap is checked exactly. Links inside a component that is
+   already known are skipped, so near copies cost one comparison each, not one for each pair.
 """
 
 from __future__ import annotations
@@ -19,15 +23,17 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import components, cut
 from .words import mix, shingles, slices, text_bytes, words
 
-BUCKETS = 1 << 18  # counters of the sketch
+BUCKETS = 1 << 20  # counters of the sketch
 PART = 1 << 14  # counters in a row
 FILTER = 1 << 23  # bits of the filter that picks the texts to read again
+CHUNK_TOKENS = 1 << 20  # shingles of a chunk of documents
 BLOCK_ROWS, QUERY_ROWS, BLOCK_TOKENS = 1024, 256, 400_000
 
 
@@ -47,48 +53,126 @@ def _signature(u: np.ndarray) -> int:
     return int(mix(a ^ mix(b)).astype(np.int64)[0])
 
 
-def _signed_batches(k: int):
+def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int32)
         for b, i, sets in _doc_sets(batches, k):
-            if not sets:
-                continue
-            every = np.concatenate(sets)
-            counts += np.bincount((every >> np.uint64(46)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        used = [p for p in range(BUCKETS // PART) if counts[p * PART : (p + 1) * PART].any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([counts[p * PART : (p + 1) * PART].tobytes() for p in used], pa.binary())], names)
-
-    names, kind = ["doc_id", "n", "sig", "part", "counts"], pa.int64()
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())], ["doc_id", "n", "sig"])
+
     return run
 
 
-def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counters of each part, as rows come; a bit for each counter well above the mean of its part."""
+def _dealt(k: int, bits: int):
+    """Fingerprints by range of the hash: for each chunk of documents a row of each range (32-bit fingerprints in the
+    documents' order, how many each document has) and one with the documents' signatures and sizes."""
+
+    def rows(chunk: int, sets: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(u) for u in sets])
+        every = np.concatenate(sets)
+        part = (every >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
+        doc = np.repeat(np.arange(len(sets)), n)
+        counts = np.bincount(part * len(sets) + doc, minlength=len(sets) << bits).astype(np.uint32).reshape(1 << bits, -1)
+        order = np.argsort(part.astype(np.uint16), kind="stable")
+        prints = (every >> np.uint64(32 - bits)).astype(np.uint32)[order]
+        at = np.concatenate([[0], np.cumsum(counts.sum(axis=1, dtype=np.int64))])
+        parts = [prints[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+        names = np.array([_signature(u) for u in sets], np.int64).tobytes()
+        m = len(parts) + 1
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), pa.array([*range(len(parts)), -1 - chunk], pa.int64()), pa.array([*parts, names], pa.binary()), pa.array([*map(_packed, counts), _packed(n.astype(np.uint32))], pa.binary())], ["chunk", "part", "prints", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size, chunk = 0, TaskContext.get().partitionId() << 32
+        for _, _, sets in _doc_sets(batches, k):
+            for u in sets:
+                if len(u) and (s := _signature(u)) not in seen:
+                    seen.add(s)
+                    held.append(u)
+                    size += len(u)
+            if size > CHUNK_TOKENS:
+                yield rows(chunk, held)
+                held, size, chunk = [], 0, chunk + 1
+        if held:
+            yield rows(chunk, held)
+
+    return run
+
+
+def _packed(n: np.ndarray) -> bytes:
+    """uint32 counts, as single bytes where they are small; the first byte says which."""
+    return b"\1" + n.astype(np.uint8).tobytes() if n.max() < 256 else b"\4" + n.tobytes()
+
+
+def _unpacked(c: bytes) -> np.ndarray:
+    return np.frombuffer(c, np.uint8 if c[0] == 1 else np.uint32, offset=1).astype(np.int64)
+
+
+def _repeated(t: pa.Table) -> pa.Table:
+    """For a range of fingerprints: how many of each document's occur in another document too."""
+    if t.column("part")[0].as_py() < 0:  # signatures and sizes of a chunk pass through
+        return pa.table({"chunk": t.column("chunk"), "names": t.column("prints"), "sizes": t.column("counts"), "found": pa.nulls(len(t), pa.binary())})
+    chunks, prints = t.column("chunk").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("prints")]
+    every = np.concatenate(prints)
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    same = np.zeros(len(every) + 1, bool)
+    same[1:-1] = ranked[1:] == ranked[:-1]
+    twice = np.zeros(len(every), np.int64)
+    twice[order] = same[1:] | same[:-1]
+    sums, at, out = np.concatenate([[0], np.cumsum(twice)]), 0, []
+    for p, c in zip(prints, t.column("counts").to_pylist(), strict=True):
+        n = _unpacked(c)
+        ends = at + np.cumsum(n)
+        out.append(_packed((sums[ends] - sums[ends - n]).astype(np.uint32)))
+        at += len(p)
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "names": pa.nulls(len(out), pa.binary()), "sizes": pa.nulls(len(out), pa.binary()), "found": pa.array(out, pa.binary())})
+
+
+def _covered(num: int, den: int):
+    def run(t: pa.Table) -> pa.Table:
+        total, names, sizes = 0, None, None
+        for a, n, f in zip(*(t.column(c).to_pylist() for c in ("names", "sizes", "found")), strict=True):
+            if f is None:
+                names, sizes = np.frombuffer(a, np.int64), _unpacked(n)
+            else:
+                total = total + _unpacked(f)
+        return pa.table({"sig": pa.array(names[total * den >= sizes * num], pa.int64())})
+
+    return run
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of the tokens of all rows, by part."""
+    counts = np.zeros(BUCKETS, np.int32)
+    for b in batches:
+        every = b.column(0).flatten().to_numpy().astype(np.uint64) >> np.uint64(44)
+        counts += np.bincount(every.astype(np.int64), minlength=BUCKETS).astype(np.int32)
+    used = [p for p in range(BUCKETS // PART) if counts[p * PART : (p + 1) * PART].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([counts[p * PART : (p + 1) * PART].tobytes() for p in used], pa.binary())], ["part", "counts"])
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the counters of each part, as rows come, and keeps a byte of each: the count up to 63, then by its logarithm."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             total[p] = total.get(p, 0) + np.frombuffer(c.as_buffer(), np.int32).astype(np.int64)
-    bits = [np.packbits(c > c.mean() + 6 * np.sqrt(c.mean()) + 16).tobytes() for c in total.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], ["part", "bits"])
+    level = [np.where(c < 64, c, np.minimum(255, 64 + 6 * (np.log2(np.maximum(c, 64)) - 6)).astype(np.int64)).astype(np.uint8).tobytes() for c in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], ["part", "levels"])
 
 
-def _prefixes(k: int, num: int, den: int, heavy: np.ndarray):
+def _prefixes(num: int, den: int, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, _, sets in _doc_sets(batches, k):
+        for b in batches:
             tokens, sigs = [], []
-            for u in sets:
-                n, s = len(u), _signature(u)
-                if not n or s in seen:
-                    continue
-                seen.add(s)
-                last = heavy[(u >> np.uint64(46)).astype(np.int64)]
-                tokens.append(np.concatenate([u[~last], u[last]])[: n + num * n // -den + 1])
+            for s, u in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                u = u.values.to_numpy()
+                n = len(u)
+                first = np.argsort(level[(u.astype(np.uint64) >> np.uint64(44)).astype(np.int64)], kind="stable")
+                tokens.append(u[first[: n + num * n // -den + 1]])
                 sigs.append(s)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), [len(t) for t in tokens]))], ["token", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(sigs, np.int64), [len(t) for t in tokens]))], ["token", "sig"])
 
     return run
 
@@ -198,21 +282,26 @@ def shingle_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     Rows may repeat (they link); a null doc_id is passed over for the smallest; an empty table gives no rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(src.mapInArrow(_signed_batches(k), "doc_id bigint, n bigint, sig bigint, part int, counts binary"))
-    rows = signed.where("part is null").select("doc_id", "n", "sig")
-    heavy = np.zeros(BUCKETS, bool)
-    for part, bits in signed.where("part is not null").select("part", "counts").repartition(BUCKETS // PART, "part").mapInArrow(_heavy, "part int, bits binary").collect():
-        heavy[part * PART : (part + 1) * PART] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    posts = cut(src.mapInArrow(_prefixes(k, num, den, heavy), "token bigint, sig bigint"))
+    rows = cut(src.mapInArrow(_signed(k), "doc_id bigint, n bigint, sig bigint"))
+    # as many ranges as keep a range's share of the fingerprints small at any size of the input
+    bits = min(14, max(5, (2 * src._jdf.rdd().getNumPartitions() - 1).bit_length()))
+    dealt = src.mapInArrow(_dealt(k, bits), "chunk bigint, part bigint, prints binary, counts binary")
+    found = dealt.groupBy("part").applyInArrow(_repeated, "chunk bigint, names binary, sizes binary, found binary")
+    covered = cut(found.groupBy("chunk").applyInArrow(_covered(num, den), "sig bigint").distinct())
+
+    wanted = np.zeros(FILTER, bool)
+    for part, marks in covered.repartition(16, F.shiftrightunsigned("sig", 58)).mapInArrow(_filter_bits, "part int, bits binary").collect():
+        wanted[part << 17 : (part + 1) << 17] |= np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+    sets = src.mapInArrow(_wanted_sets(k, wanted), "sig bigint, tokens array<bigint>").join(covered, "sig", "left_semi")
+    sets = cut(sets.groupBy("sig").agg(F.first("tokens").alias("tokens")))
+    level = np.zeros(BUCKETS, np.uint8)
+    for part, levels in sets.select("tokens").mapInArrow(_sketch, "part int, counts binary").repartition(BUCKETS // PART, "part").mapInArrow(_levels, "part int, levels binary").collect():
+        level[part * PART : (part + 1) * PART] = np.frombuffer(levels, np.uint8)
+    posts = cut(sets.mapInArrow(_prefixes(num, den, level), "token bigint, sig bigint"))
     shared = posts.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("other")).where("hub <> other").select(F.col("token").alias("t"), "hub")
     edges = cut(posts.join(shared, F.col("token") == F.col("t")).groupBy("sig", "hub").agg(F.count("*").alias("common")))
     groups = components(edges.select(F.col("sig").alias("a"), F.col("hub").alias("b")))
-    nodes = cut(groups.join(edges.groupBy("sig").agg(F.sum("common").alias("common")), groups.node == F.col("sig")).select("sig", "root", "common"))
-
-    wanted = np.zeros(FILTER, bool)
-    for part, bits in nodes.select("sig").repartition(16, F.shiftrightunsigned("sig", 58)).mapInArrow(_filter_bits, "part int, bits binary").collect():
-        wanted[part << 17 : (part + 1) << 17] |= np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    sets = src.mapInArrow(_wanted_sets(k, wanted), "sig bigint, tokens array<bigint>").groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    nodes = groups.join(edges.groupBy("sig").agg(F.sum("common").alias("common")), groups.node == F.col("sig")).select("sig", "root", "common")
     members = cut(sets.join(nodes, "sig").withColumn("n", F.size("tokens").cast("long")))
 
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1

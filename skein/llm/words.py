@@ -115,8 +115,8 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     n = max(0, len(hashes) - k + 1)
     out = np.full(n, _U(k), _U)
     for j in range(k):
-        out = mix(out + hashes[j : j + n]) if j % 4 == 3 or j == k - 1 else out * _BASE + hashes[j : j + n]
-    return out
+        out = out * _BASE + hashes[j : j + n]
+    return mix(out)
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
