@@ -5,8 +5,8 @@ Equal sets are one node, named by a 64-bit signature.
 1. Coverage. A document with a link shares most of its shingles, so those of which too few occur anywhere else are
    done. Shingle fingerprints are dealt by range, those seen twice are found there, and only counts by document go back.
 2. Prefixes. Of the documents left, linked ones share a token among their first ones in any fixed order; the order
-   here is by a counting sketch, frequent tokens last. Nodes that share such a token with the token's smallest node
-   form candidate groups, which hold every link.
+   here is by a counting sketch, frequent tokens last. The smallest node with a token is the token's hub; the nodes
+   that share tokens with a hub form its group. Every link lies in some group.
 3. Search. In a group every node is compared with a pivot; the nodes not linked to it are compared with the whole
    group, block by block, by T-occurrence search: short inverted lists are merged with a heap, long ones probed by
    binary search (DivideSkip), and what reaches the required overlap is checked exactly. Links inside a component that is
@@ -300,25 +300,24 @@ def shingle_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     posts = cut(sets.mapInArrow(_prefixes(num, den, level), "token bigint, sig bigint"))
     shared = posts.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("other")).where("hub <> other").select(F.col("token").alias("t"), "hub")
     edges = cut(posts.join(shared, F.col("token") == F.col("t")).groupBy("sig", "hub").agg(F.count("*").alias("common")))
-    groups = components(edges.select(F.col("sig").alias("a"), F.col("hub").alias("b")))
-    nodes = groups.join(edges.groupBy("sig").agg(F.sum("common").alias("common")), groups.node == F.col("sig")).select("sig", "root", "common")
-    members = cut(sets.join(nodes, "sig").withColumn("n", F.size("tokens").cast("long")))
+    members = cut(sets.join(edges, "sig").withColumn("n", F.size("tokens").cast("long")).withColumnRenamed("hub", "root"))
 
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    stats = members.groupBy("root").agg(F.max(F.struct((F.col("common") / prefix).alias("part"), "n", "sig")).alias("best"), F.count("*").alias("m"), F.sum("n").alias("tokens_m"))
+    # the pivot has the most in common with the hub: in a family of near copies, one with few changes
+    near = F.struct((F.col("sig") != F.col("root")).alias("other"), "common", "n", "sig")
+    stats = members.groupBy("root").agg(F.max(near).alias("best"), F.count("*").alias("m"), F.sum("n").alias("tokens_m"))
     stats = cut(stats.select(F.col("root").alias("g"), F.col("best.sig").alias("pivot"), "m", "tokens_m"))
     blocks = lambda rows, tokens, most: F.greatest(F.ceil(rows / most), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
-    pivots = stats.join(members.select(F.col("sig").alias("pivot"), F.col("tokens").alias("pivot_tokens"), F.col("n").alias("pivot_n")), "pivot")
+    pivots = stats.join(members.select(F.col("sig").alias("pivot"), F.col("root").alias("g"), F.col("tokens").alias("pivot_tokens"), F.col("n").alias("pivot_n")), ["pivot", "g"])
     pivots = pivots.withColumn("salts", blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    sized = members.select("sig", "root").join(stats.select("g", "m", "tokens_m"), F.col("root") == F.col("g")).select(F.col("sig").alias("s"), blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS).alias("salts_m"))
-    salted = members.join(sized, F.col("sig") == F.col("s")).withColumn("salt_m", F.pmod(F.xxhash64("sig"), F.col("salts_m")).cast("int"))
+    sized = members.select("sig", "root").join(stats.select("g", "m", "tokens_m"), F.col("root") == F.col("g")).select(F.col("sig").alias("s"), F.col("root").alias("in"), blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS).alias("salts_m"))
+    salted = members.join(sized, (F.col("sig") == F.col("s")) & (F.col("root") == F.col("in"))).drop("in").withColumn("salt_m", F.pmod(F.xxhash64("sig"), F.col("salts_m")).cast("int"))
     both = F.size(F.array_intersect("tokens", "pivot_tokens"))
     compared = salted.join(pivots, (F.col("root") == F.col("g")) & (F.col("salt_m") == F.col("salt")))
     linked = cut(compared.select("sig", "root", "n", "pivot", "m", "tokens_m", (den * both >= num * (F.col("n") + F.col("pivot_n") - both)).alias("linked")))
 
     rest = linked.where("not linked").groupBy("root").agg(F.count("*").alias("r"), F.sum("n").alias("tokens_r")).withColumnRenamed("root", "g")
-    asked = linked.join(rest, F.col("root") == F.col("g")).select(F.col("sig").alias("s"), "linked", blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS).alias("bm"), blocks(F.col("r"), F.col("tokens_r"), QUERY_ROWS).alias("br"))
-    asked = members.select("sig", "root", "tokens").join(asked, F.col("sig") == F.col("s"))
+    asked = linked.join(rest, F.col("root") == F.col("g")).select(F.col("sig").alias("s"), "g", "linked", blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS).alias("bm"), blocks(F.col("r"), F.col("tokens_r"), QUERY_ROWS).alias("br"))
+    asked = members.select("sig", "root", "tokens").join(asked, (F.col("sig") == F.col("s")) & (F.col("root") == F.col("g")))
     of = lambda x, y: F.pmod(F.xxhash64("sig"), F.col(y)).cast("int").alias(x)
     everyone = asked.select("root", "sig", "tokens", "linked", F.lit(False).alias("asks"), of("mine", "bm"), F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("theirs"))
     queries = asked.where("not linked").select("root", "sig", "tokens", "linked", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("bm") - 1)).alias("mine"), of("theirs", "br"))
