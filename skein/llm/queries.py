@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, media, overlap, packing, quality, sharding, urls
+from . import chat, decontaminate, langid, media, overlap, packing, quality, sharding, toxicity, urls
 from .learn import fold
 from .tables import table
 
@@ -49,6 +49,12 @@ def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    return toxicity.score(rows, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.minimax_shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -88,7 +94,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_divide_skip, op3_simhash_windows, op4_dominance_packing, op5_output_codes, op6_nbsvm_quality, op8_minimax_shards, op9_url_rules, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_divide_skip, op3_simhash_windows, op4_dominance_packing, op5_output_codes, op6_nbsvm_quality, op7_cnn_toxicity, op8_minimax_shards, op9_url_rules, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
