@@ -264,9 +264,33 @@ def links_in_block(members: list[tuple[int, np.ndarray, int]], queries: list[tup
     return out
 
 
-def _block_links(num: int, den: int):
+def _in_block(num: int, den: int):
+    """Links within a block of a group: of its rows with the pivot, then of the rows not linked to it with the block.
+    For groups of several blocks also each row's state, as (sig, null)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["copy", "sig"], ascending=[False, True]).drop_duplicates("sig")
+        pivot, pivot_tokens = next(((s, t) for s, t, p in zip(pdf["sig"], pdf["tokens"], pdf["copy"], strict=True) if p))
+        rows, found = [], []
+        for s, t in zip(pdf["sig"], pdf["tokens"], strict=True):
+            both = len(np.intersect1d(t, pivot_tokens, assume_unique=True))
+            linked = den * both >= num * (len(t) + len(pivot_tokens) - both)
+            rows.append((s, t, 0 if linked else -1))
+            if linked and s != pivot:
+                found.append((s, pivot))
+        asking = [(s, t) for s, t, x in rows if x < 0]
+        if asking:
+            found += links_in_block(rows, asking, num, den)
+        states = [(s, x == 0) for s, _, x in rows] if pdf["blocks"].iloc[0] > 1 else []
+        return pd.DataFrame({"root": pdf["root"].iloc[0], "a": pd.array([x for x, _ in found] + [s for s, _ in states], "Int64"), "b": pd.array([x for _, x in found] + [None] * len(states), "Int64"), "linked": [True] * len(found) + [x for _, x in states]})
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Links between the rows of one block and rows of others that are not linked to the pivot."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sig")
         rows = list(zip(pdf["sig"], pdf["tokens"], pdf["linked"], pdf["asks"], strict=True))
         found = links_in_block([(s, t, 0 if x else -1) for s, t, x, q in rows if not q], [(s, t) for s, t, _, q in rows if q], num, den)
         return pd.DataFrame({"a": [x for x, _ in found], "b": [x for _, x in found]}, dtype="int64")
@@ -292,7 +316,7 @@ def shingle_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     wanted = np.zeros(FILTER, bool)
     for part, marks in covered.repartition(16, F.shiftrightunsigned("sig", 58)).mapInArrow(_filter_bits, "part int, bits binary").collect():
         wanted[part << 17 : (part + 1) << 17] |= np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
-    sets = src.mapInArrow(_wanted_sets(k, wanted), "sig bigint, tokens array<bigint>").join(covered, "sig", "left_semi")
+    sets = src.mapInArrow(_wanted_sets(k, wanted), "sig bigint, tokens array<bigint>")
     sets = cut(sets.groupBy("sig").agg(F.first("tokens").alias("tokens")))
     level = np.zeros(BUCKETS, np.uint8)
     for part, levels in sets.select("tokens").mapInArrow(_sketch, "part int, counts binary").repartition(BUCKETS // PART, "part").mapInArrow(_levels, "part int, levels binary").collect():
@@ -300,29 +324,28 @@ def shingle_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     posts = cut(sets.mapInArrow(_prefixes(num, den, level), "token bigint, sig bigint"))
     shared = posts.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("other")).where("hub <> other").select(F.col("token").alias("t"), "hub")
     edges = cut(posts.join(shared, F.col("token") == F.col("t")).groupBy("sig", "hub").agg(F.count("*").alias("common")))
-    members = cut(sets.join(edges, "sig").withColumn("n", F.size("tokens").cast("long")).withColumnRenamed("hub", "root"))
-
-    # the pivot has the most in common with the hub: in a family of near copies, one with few changes
+    # groups, their pivots and blocks, from small rows; the pivot has the most in common with the hub: in a family of near
+    # copies, one with few changes. A copy of it goes into every block.
+    sizes = sets.select(F.col("sig").alias("s"), F.size("tokens").cast("long").alias("n"))
+    sized = cut(edges.join(sizes, F.col("sig") == F.col("s")).select("sig", F.col("hub").alias("root"), "common", "n"))
     near = F.struct((F.col("sig") != F.col("root")).alias("other"), "common", "n", "sig")
-    stats = members.groupBy("root").agg(F.max(near).alias("best"), F.count("*").alias("m"), F.sum("n").alias("tokens_m"))
-    stats = cut(stats.select(F.col("root").alias("g"), F.col("best.sig").alias("pivot"), "m", "tokens_m"))
+    groups = sized.groupBy("root").agg(F.max(near).alias("best"), F.count("*").alias("m"), F.sum("n").alias("tokens"))
     blocks = lambda rows, tokens, most: F.greatest(F.ceil(rows / most), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
-    pivots = stats.join(members.select(F.col("sig").alias("pivot"), F.col("root").alias("g"), F.col("tokens").alias("pivot_tokens"), F.col("n").alias("pivot_n")), ["pivot", "g"])
-    pivots = pivots.withColumn("salts", blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    sized = members.select("sig", "root").join(stats.select("g", "m", "tokens_m"), F.col("root") == F.col("g")).select(F.col("sig").alias("s"), F.col("root").alias("in"), blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS).alias("salts_m"))
-    salted = members.join(sized, (F.col("sig") == F.col("s")) & (F.col("root") == F.col("in"))).drop("in").withColumn("salt_m", F.pmod(F.xxhash64("sig"), F.col("salts_m")).cast("int"))
-    both = F.size(F.array_intersect("tokens", "pivot_tokens"))
-    compared = salted.join(pivots, (F.col("root") == F.col("g")) & (F.col("salt_m") == F.col("salt")))
-    linked = cut(compared.select("sig", "root", "n", "pivot", "m", "tokens_m", (den * both >= num * (F.col("n") + F.col("pivot_n") - both)).alias("linked")))
-
-    rest = linked.where("not linked").groupBy("root").agg(F.count("*").alias("r"), F.sum("n").alias("tokens_r")).withColumnRenamed("root", "g")
-    asked = linked.join(rest, F.col("root") == F.col("g")).select(F.col("sig").alias("s"), "g", "linked", blocks(F.col("m"), F.col("tokens_m"), BLOCK_ROWS).alias("bm"), blocks(F.col("r"), F.col("tokens_r"), QUERY_ROWS).alias("br"))
-    asked = members.select("sig", "root", "tokens").join(asked, (F.col("sig") == F.col("s")) & (F.col("root") == F.col("g")))
-    of = lambda x, y: F.pmod(F.xxhash64("sig"), F.col(y)).cast("int").alias(x)
-    everyone = asked.select("root", "sig", "tokens", "linked", F.lit(False).alias("asks"), of("mine", "bm"), F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("theirs"))
-    queries = asked.where("not linked").select("root", "sig", "tokens", "linked", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("bm") - 1)).alias("mine"), of("theirs", "br"))
-    more = everyone.unionByName(queries).groupBy("root", "mine", "theirs").applyInPandas(_block_links(num, den), "a bigint, b bigint")
-    links = linked.where("linked and sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).union(more)
+    groups = cut(groups.where("m > 1").select(F.col("root").alias("g"), F.col("best.sig").alias("pivot"), blocks(F.col("m"), F.col("tokens"), BLOCK_ROWS).alias("blocks")))
+    placed = sized.join(groups, F.col("root") == F.col("g")).select("sig", "root", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("copy"))
+    copies = groups.select(F.col("pivot").alias("sig"), F.col("g").alias("root"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("copy"))
+    placed = cut(placed.unionByName(copies))
+    first = cut(sets.join(placed, "sig").groupBy("root", "block").applyInPandas(_in_block(num, den), "root bigint, a bigint, b bigint, linked boolean"))
+
+    # groups of several blocks: rows not linked to the pivot ask the other blocks too
+    states = first.where("b is null").select(F.col("root").alias("g"), F.col("a").alias("s"), "linked").groupBy("g", "s").agg(F.max("linked").alias("linked"))
+    asking = states.where("not linked").groupBy("g").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("queries")).withColumnRenamed("g", "h")
+    several = placed.where("blocks > 1 and not copy").join(states, (F.col("root") == F.col("g")) & (F.col("sig") == F.col("s"))).join(asking, F.col("g") == F.col("h"))
+    everyone = several.select("root", "sig", "linked", F.lit(False).alias("asks"), F.col("block").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("theirs"))
+    asks = several.where("not linked").select("root", "sig", "linked", F.lit(True).alias("asks"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), F.pmod(F.xxhash64("sig"), F.col("queries")).cast("int").alias("theirs"))
+    asks = asks.where("mine <> block").drop("block")
+    more = sets.join(everyone.unionByName(asks), "sig").groupBy("root", "mine", "theirs").applyInPandas(_across(num, den), "a bigint, b bigint")
+    links = first.where("b is not null").select("a", "b").union(more)
     roots = components(links).select(F.col("node").alias("sig"), "root")
 
     ids = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
