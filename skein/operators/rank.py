@@ -16,6 +16,10 @@ def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
+def _occurrences(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
 def doc_frequencies(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokenize_p(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -30,7 +34,7 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     toks = chunks.withColumn("_t", tokenize_p(F.col("content")))
     toks = toks.withColumn("_n", F.size("_t"))
     for i, t in enumerate(terms):
-        toks = toks.withColumn(f"_f{i}", F.size(F.filter("_t", lambda x, t=t: x == t)))
+        toks = toks.withColumn(f"_f{i}", _occurrences("_t", t))
     toks = toks.drop("_t")
     stats = toks.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))))
 
