@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, shingles, slices, spread, text_bytes, window_hashes, words
+from .tables import bounded
+from .words import Words, shingles, slices, spread, text_bytes, trimmed, window_hashes, words
 
 K = 5  # words in a shingle
 RADIUS = 18  # bits, of 64
@@ -145,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     Items go out in blocks of ITEMS, each a pass over docs. Items and texts without words, and null texts, have no hits.
     Rows of docs may repeat and ids may be null; repeated items are reported once each. An item of under K words is one shingle.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     src = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
     blocks = -(-src.count() // ITEMS)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -153,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
         items = tuple((r[0], r[1]) for r in src.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect())
-        out = out.union(docs.select(id_col, text_col).mapInArrow(_finder(items, threshold), schema)) if b else docs.select(id_col, text_col).mapInArrow(_finder(items, threshold), schema)
+        out = out.union(docs.select(id_col, text_col).mapInArrow(trimmed(_finder(items, threshold)), schema)) if b else docs.select(id_col, text_col).mapInArrow(trimmed(_finder(items, threshold)), schema)
     return out
 
 

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .learn import add_scores, fold, sample
-from .words import LOWER, slices, text_bytes
+from .tables import bounded
+from .words import LOWER, slices, text_bytes, trim, trimmed
 
-BITS2, BITS3 = 11, 13
+BITS2, BITS3 = 11, 12
 WIDTH = 256 + (1 << BITS2) + (1 << BITS3)
-ROWS = 2400  # rows learned from, over all languages
+ROWS = 2000  # rows learned from, over all languages
 NONE = "und"
 
 
@@ -69,7 +70,7 @@ def codewords(n: int) -> np.ndarray:
 
 def fit(rows: DataFrame, max_rows: int = ROWS) -> Model:
     """rows(doc_id, text, lang): learns from at most max_rows of them, as many of each language. Null texts or languages are left out."""
-    rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = bounded(rows).where("lang is not null and text is not null").select("doc_id", "text", "lang")
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not langs:
         return Model([], np.zeros((0, 1)), np.zeros((WIDTH, 1), np.float32), np.zeros(1), np.ones(1), 0.0)
@@ -81,13 +82,13 @@ def fit(rows: DataFrame, max_rows: int = ROWS) -> Model:
                 x = grams(data[at[i] : at[j]], at[i : j + 1] - at[i]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    ids = F.broadcast(sample(rows.select("doc_id", "lang").where("doc_id is not null").distinct(), "lang", max(8, max_rows // len(langs))))
-    got = rows.join(ids, ["doc_id", "lang"]).select("lang", "text").mapInArrow(featured, "lang string, x binary").collect()
+    ids = F.broadcast(sample(rows.select("doc_id", "lang").where("doc_id is not null").distinct(), "lang", langs, max(8, max_rows // len(langs))))
+    got = rows.join(ids, ["doc_id", "lang"]).select("lang", "text").mapInArrow(trimmed(featured), "lang string, x binary").collect()
     got.sort(key=lambda r: (r[1], r[0]))
-    x = np.stack([np.frombuffer(r[1], np.float16) for r in got]).astype(np.float32)
-    y = np.array([langs.index(r[0]) for r in got])
-    order = np.random.default_rng(1).permutation(len(y))
-    x, y, code = x[order], y[order], codewords(len(langs))
+    order = np.random.default_rng(1).permutation(len(got))
+    x = np.stack([np.frombuffer(got[i][1], np.float16) for i in order]).astype(np.float32)
+    y, code = np.array([langs.index(got[i][0]) for i in order]), codewords(len(langs))
+    del got
     held = np.arange(len(y)) % 5 == 0
     if len(y) < 20:
         held[:] = False
@@ -98,6 +99,8 @@ def fit(rows: DataFrame, max_rows: int = ROWS) -> Model:
     if held.any() and len(langs) > 1:
         loss = np.sort(losses(model, x[held]), axis=1)
         model = model._replace(margin=float(np.quantile(loss[:, 1] - loss[:, 0], 0.02)))
+    del x
+    trim()
     return model
 
 

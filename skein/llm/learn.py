@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import bounded
+from .words import trimmed
+
 
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
-def sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most per_class of the rows of each label, those whose doc_id hashes lowest; for learning only."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_class).drop("__n")
+def sample(rows: DataFrame, label: str, values: list, per_class: int) -> DataFrame:
+    """At most per_class of the rows of each label, those whose doc_id hashes lowest; for learning only. Each task offers its own lowest."""
+    each = [rows.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in values]
+    return reduce(DataFrame.union, each)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -30,8 +34,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, t
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != test_fold)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where("doc_id is not null")
     counts = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
-    ids = sample(known, "y", per_class)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", "text"), counts
+    ids = sample(known, "y", [0, 1], per_class)
+    return bounded(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", "text"), counts
 
 
 def add_scores(rows: DataFrame, text: str, score: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField], keep: Callable[[list[pa.Array]], np.ndarray] | None = None) -> DataFrame:
@@ -43,14 +47,17 @@ def add_scores(rows: DataFrame, text: str, score: Callable[[pa.Array], list[pa.A
                 continue
             made = score(b.column(b.schema.get_field_index(text)))
             if keep:
-                yield b.filter(pa.array(keep(made)))
+                good = pa.array(keep(made))
+                for i in range(0, b.num_rows, 1000):
+                    yield b.slice(i, 1000).filter(good.slice(i, 1000))
             else:
                 left = [c for c in b.schema.names if c != text]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in left), *made], [*left, *(f.name for f in fields)])
 
+    bounded(rows)
     if keep:
-        return rows.mapInArrow(run, rows.schema)
-    return rows.mapInArrow(run, T.StructType([f for f in rows.schema if f.name != text] + fields))
+        return rows.mapInArrow(trimmed(run), rows.schema)
+    return rows.mapInArrow(trimmed(run), T.StructType([f for f in rows.schema if f.name != text] + fields))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

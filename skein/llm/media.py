@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .tables import bounded
 
 OUT_BYTES = 4 << 20  # a batch of results is handed on at this size
 
@@ -41,7 +42,7 @@ def encode_media(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 data = [x or b"" for x in raw.slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(map(len, data), pa.int64()), pa.array([jpeg.encode_bytes(jpeg.pad(x)) for x in data], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    src = rows.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("raw"))
+    src = bounded(rows).select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("raw"))
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(encode, f"doc_id {kind}, n_bytes bigint, media binary")
 
@@ -86,4 +87,4 @@ def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     wide = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "smallint": pa.int16(), "tinyint": pa.int8()}
     types = [wide[x.split()[1]] for x in schema.split(", ")]
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(decode, schema)
+    return bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(decode, schema)

@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, cut
-from .words import mix, shingles, slices, text_bytes, words
+from .tables import bounded, components, cut
+from .words import mix, shingles, slices, text_bytes, trim, trimmed, words
 
 BUCKETS = 1 << 20  # counters of the sketch
 PART = 1 << 14  # counters in a row
 FILTER = 1 << 23  # bits of the filter that picks the texts to read again
 CHUNK_TOKENS = 1 << 20  # shingles of a chunk of documents
-BLOCK_ROWS, QUERY_ROWS, BLOCK_TOKENS = 1024, 256, 400_000
+BLOCK_ROWS, QUERY_ROWS, BLOCK_TOKENS = 1024, 256, 200_000
 
 
 def _doc_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -281,6 +281,8 @@ def _in_block(num: int, den: int):
         asking = [(s, t) for s, t, x in rows if x < 0]
         if asking:
             found += links_in_block(rows, asking, num, den)
+        if len(rows) > 100:
+            trim()
         states = [(s, x == 0) for s, _, x in rows] if pdf["blocks"].iloc[0] > 1 else []
         return pd.DataFrame({"root": pdf["root"].iloc[0], "a": pd.array([x for x, _ in found] + [s for s, _ in states], "Int64"), "b": pd.array([x for _, x in found] + [None] * len(states), "Int64"), "linked": [True] * len(found) + [x for _, x in states]})
 
@@ -305,23 +307,23 @@ def shingle_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     fewer words is one shingle; one without words, or null, has an empty set, links with nothing and is its own component.
     Rows may repeat (they link); a null doc_id is passed over for the smallest; an empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(src.mapInArrow(_signed(k), "doc_id bigint, n bigint, sig bigint"))
+    src = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = cut(src.mapInArrow(trimmed(_signed(k)), "doc_id bigint, n bigint, sig bigint"))
     # as many ranges as keep a range's share of the fingerprints small at any size of the input
     bits = min(14, max(5, (2 * src._jdf.rdd().getNumPartitions() - 1).bit_length()))
-    dealt = src.mapInArrow(_dealt(k, bits), "chunk bigint, part bigint, prints binary, counts binary")
+    dealt = src.mapInArrow(trimmed(_dealt(k, bits)), "chunk bigint, part bigint, prints binary, counts binary")
     found = dealt.groupBy("part").applyInArrow(_repeated, "chunk bigint, names binary, sizes binary, found binary")
     covered = cut(found.groupBy("chunk").applyInArrow(_covered(num, den), "sig bigint").distinct())
 
     wanted = np.zeros(FILTER, bool)
     for part, marks in covered.repartition(16, F.shiftrightunsigned("sig", 58)).mapInArrow(_filter_bits, "part int, bits binary").collect():
         wanted[part << 17 : (part + 1) << 17] |= np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
-    sets = src.mapInArrow(_wanted_sets(k, wanted), "sig bigint, tokens array<bigint>")
+    sets = src.mapInArrow(trimmed(_wanted_sets(k, wanted)), "sig bigint, tokens array<bigint>")
     sets = cut(sets.groupBy("sig").agg(F.first("tokens").alias("tokens")))
     level = np.zeros(BUCKETS, np.uint8)
-    for part, levels in sets.select("tokens").mapInArrow(_sketch, "part int, counts binary").repartition(BUCKETS // PART, "part").mapInArrow(_levels, "part int, levels binary").collect():
+    for part, levels in sets.select("tokens").mapInArrow(trimmed(_sketch), "part int, counts binary").repartition(BUCKETS // PART, "part").mapInArrow(_levels, "part int, levels binary").collect():
         level[part * PART : (part + 1) * PART] = np.frombuffer(levels, np.uint8)
-    posts = cut(sets.mapInArrow(_prefixes(num, den, level), "token bigint, sig bigint"))
+    posts = cut(sets.mapInArrow(trimmed(_prefixes(num, den, level)), "token bigint, sig bigint"))
     shared = posts.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("other")).where("hub <> other").select(F.col("token").alias("t"), "hub")
     edges = cut(posts.join(shared, F.col("token") == F.col("t")).groupBy("sig", "hub").agg(F.count("*").alias("common")))
     # groups, their pivots and blocks, from small rows; the pivot has the most in common with the hub: in a family of near

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, rank_in
-from .words import slices, text_bytes, words
+from .tables import bounded, cut, rank_in
+from .words import slices, text_bytes, trimmed, words
 
 END_ID = 1
-CACHE_WORDS = 1_500_000  # distinct words whose ids a Python worker keeps; beyond, it starts afresh
+CACHE_WORDS = 600_000  # distinct words whose ids a Python worker keeps; beyond, it starts afresh
 
 
 @lru_cache(4)
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "
         tok = word_tokenizer(tokenizer)
         for b in batches:
             data, at = text_bytes(b.column(1))
-            for i, j in slices(at, 2 << 20):
+            for i, j in slices(at, 1 << 20):
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
                 for r, ids in enumerate(tok(data[at[i] : at[j]], at[i : j + 1] - at[i]), i):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
@@ -131,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(cut_up, schema)
+    return bounded(docs).select(id_col, text_col).mapInArrow(trimmed(cut_up), schema)
 
 
 class Plan:

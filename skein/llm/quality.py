@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .learn import add_scores, labelled_texts, platt, sigmoid
-from .words import mix, slices, text_bytes, window_hashes, words
+from .words import mix, slices, text_bytes, trim, trimmed, window_hashes, words
 
 BITS = 15
 PER_CLASS = 2500  # labelled rows of each class learned from
@@ -93,7 +93,7 @@ def _fit(sets: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     totals = [np.bincount(np.concatenate([s for s, c in zip(sets, y, strict=True) if c == k] or [np.zeros(0, int)]), minlength=1 << BITS) + 1.0 for k in (0, 1)]
     n = [max(1, int((y == k).sum())) + 2.0 for k in (0, 1)]
     ratio = np.log(totals[1] / n[1]) - np.log(totals[0] / n[0])
-    values = [(v := ratio[s]) / max(float(np.sqrt(v @ v)), 1e-6) for s in sets]
+    values = [((v := ratio[s]) / max(float(np.sqrt(v @ v)), 1e-6)).astype(np.float32) for s in sets]
     cost = np.where(y == 1, len(y) / (2 * n[1]), len(y) / (2 * n[0]))
     w = dual_descent(sets, values, np.where(y == 1, 1.0, -1.0), cost, 1 << BITS)
     return (w[:-1] * ratio).astype(np.float32), ratio.astype(np.float32), float(w[-1])
@@ -108,15 +108,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             for i, j, has in _features(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([np.packbits(r).tobytes() for r in has], pa.binary())], ["y", "x"])
 
-    got = sorted((r[1], int(r[0])) for r in texts.mapInArrow(featured, "y int, x binary").collect())
+    got = sorted((r[1], int(r[0])) for r in texts.mapInArrow(trimmed(featured), "y int, x binary").collect())
     zero = np.zeros(1 << BITS, np.float32)
     y = np.array([r[1] for r in got], int)
     if len(set(y.tolist())) < 2:
         share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         return Model(zero, zero, 0.0, 0.0, float(np.log(share / (1 - share))))
     order = np.random.default_rng(5).permutation(len(y))
-    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(got[i][0], np.uint8))) for i in order]
+    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(got[i][0], np.uint8))).astype(np.int32) for i in order]
     y = y[order]
+    del got
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = True
@@ -127,6 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     weight = np.array([counts[int(c)] / max(1, int((y == c).sum())) for c in y[held]])
     slope, offset = platt(margin, y[held].astype(float), weight / weight.mean())
     weights, ratio, bias = _fit(sets, y)
+    del sets
+    trim()
     return Model(weights, ratio, bias, slope, offset)
 
 

@@ -18,6 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after the session was told to hand Python at most 1000 rows and 8 MB at a time, unless it asks for less already.
+
+    By default a batch has 10,000 rows or 64 MB, which with whole texts takes much of a small executor."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(str(conf.get(key)).removesuffix("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
