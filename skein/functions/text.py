@@ -22,6 +22,13 @@ def tokenize_p(text: Column) -> Column:
     return F.flatten(F.transform(ids, parts))
 
 
+def bag_p(text: Column) -> Column:
+    """The tokens of tokenize_p in any order, for counting: the identifiers, then the letter runs of those that have several. No lambda, so it compiles."""
+    ids = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9_]*"), F.lit(0))
+    several = F.regexp_extract_all(F.array_join(ids, " "), F.lit("(?<![a-z0-9_])[a-z]+[0-9_]+[a-z][a-z0-9_]*"), F.lit(0))
+    return F.concat(ids, F.regexp_extract_all(F.array_join(several, " "), F.lit("[a-z]+"), F.lit(0)))
+
+
 def stem(w: Column) -> Column:
     """Profile B: the first ending that fits and leaves three characters."""
     cases = reduce(lambda c, r: (F if c is None else c).when(F.endswith(w, F.lit(r[0])) & (F.length(w) - len(r[0]) + len(r[1]) >= 3), F.concat(F.substring(w, F.lit(1), F.length(w) - len(r[0])), F.lit(r[1]))), fixed.STEM_RULES, None)
@@ -76,6 +83,15 @@ def parse_budget(text: str | int) -> int:
     return int(float(m[1]) * {"": 1, "k": 1_000, "m": 1_000_000}[m[2]])
 
 
+def summary_line(content: Column, most: int = 200) -> Column:
+    """A chunk in a line without a model: the first comment or docstring among its first five lines, else its first line."""
+    lines = F.split(F.regexp_replace(content, r"^\s+|\s+$", ""), "\n", -1)
+    notes = F.filter(F.transform(F.slice(lines, 1, 5), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike("^(\"\"\"|'''|#|//)"))
+    note = F.get(notes, F.lit(0))
+    clean = F.when(note.rlike("^[\"']"), F.regexp_replace(note, "^[\"']+|[\"']+$", "")).otherwise(F.regexp_replace(note, "^[#/ ]+", ""))
+    return F.substring(F.coalesce(clean, lines[0]), 1, most)
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +37,25 @@ def write(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """Replaces the buckets of paths that chunks hold; chunks must have all rows of those buckets (see upsert)."""
     out = chunks.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
     out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cached chunks, or None before the first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def refresh(files: DataFrame, chunker: Callable[[DataFrame], DataFrame], path: str, buckets: int = 64) -> DataFrame:
+    """Chunks of files(path, content, language): cached ones where the content is the same, new ones for the others, which are written to the cache at path."""
+    spark = files.sparkSession
+    old, hashes = read(spark, path), files.select("path", F.sha2("content", 256).alias("hash"))
+    todo = files if old is None else misses(files, old).drop("hash")
+    new = chunker(todo).join(hashes, "path")
+    if old is not None:
+        bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+        touched = todo.select(bucket.alias("bucket")).distinct()
+        new = upsert(old.join(F.broadcast(touched), "bucket", "left_semi").select(new.columns), new)
+    write(new, path, buckets)
+    return spark.read.parquet(path).drop("bucket").join(hashes, ["path", "hash"], "left_semi").drop("hash")

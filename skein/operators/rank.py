@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import important_terms, query_tokens_b, query_tokens_p, tokenize_b, tokenize_p
+from skein.functions.text import bag_p, important_terms, query_tokens_b, query_tokens_p, stem_word, tokenize_b
 
 K1, B = 1.5, 0.75
 
@@ -16,26 +16,25 @@ def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
-def _occurrences(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+def _occurrences(tokens: Column, term: str) -> Column:
+    return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
 def doc_frequencies(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.explode(F.array_distinct(tokenize_p(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return chunks.select(F.explode(F.array_distinct(bag_p(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.size(tokenize_p(F.col("content"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
+    return chunks.select(F.size(bag_p(F.col("content"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
 
 
 def bm25(chunks: DataFrame, query: str) -> DataFrame:
     """chunks with bm25 (profile P): one aggregate for the corpus figures, no shuffle of chunks."""
     terms = sorted(set(query_tokens_p(query)))
-    toks = chunks.withColumn("_t", tokenize_p(F.col("content")))
-    toks = toks.withColumn("_n", F.size("_t"))
-    for i, t in enumerate(terms):
-        toks = toks.withColumn(f"_f{i}", _occurrences("_t", t))
-    toks = toks.drop("_t")
+    # bound in a lambda, the bag is made once for a row; as a column it would be made again for each term
+    counts = F.transform(F.array(bag_p(F.col("content"))), lambda b: F.struct(F.size(b).alias("n"), *(_occurrences(b, t).alias(f"f{i}") for i, t in enumerate(terms))))
+    toks = chunks.withColumn("_c", counts[0])
+    toks = toks.select("*", F.col("_c.n").alias("_n"), *(F.col(f"_c.f{i}").alias(f"_f{i}") for i in range(len(terms)))).drop("_c")
     stats = toks.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))))
 
     def part(i: int) -> Column:
@@ -50,15 +49,19 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
 def keyword_rank_p(chunks: DataFrame, query: str) -> DataFrame:
     """bm25 + 2 for each query term in the path + 3 for each in the name, by the largest."""
     q = F.array(*(F.lit(t) for t in sorted(set(query_tokens_p(query))))).cast("array<string>")
-    raw = F.col("bm25") + 2.0 * F.size(F.array_intersect(tokenize_p(F.col("path")), q)) + 3.0 * F.size(F.array_intersect(tokenize_p(F.coalesce("name", F.lit(""))), q))
+    raw = F.col("bm25") + 2.0 * F.size(F.array_intersect(bag_p(F.col("path")), q)) + 3.0 * F.size(F.array_intersect(bag_p(F.coalesce("name", F.lit(""))), q))
     s = bm25(chunks, query).withColumn("_raw", raw)
     top = s.agg(F.max("_raw").alias("_max"))
     return s.crossJoin(F.broadcast(top)).withColumn("score", F.when(F.col("_max") > 0, F.col("_raw") / F.col("_max")).otherwise(F.col("_raw"))).select(*chunks.columns, "score")
 
 
-def keyword_rank_b(chunks: DataFrame, query: str) -> DataFrame:
-    """Density score (profile B): substring matches either way, exact bonuses, path penalties."""
+def keyword_rank_b(chunks: DataFrame, query: str, boost_stemmed: bool = False) -> DataFrame:
+    """Density score (profile B): substring matches either way, exact bonuses, path penalties.
+
+    Important terms count fivefold where they equal a stemmed term; with boost_stemmed they are stemmed before."""
     terms, strong = query_tokens_b(query), important_terms(query)
+    if boost_stemmed:
+        strong = strong | {stem_word(t) for t in strong}
     if not terms:
         return chunks.withColumn("score", F.lit(0.0))
     for c, src in (("_c", "content"), ("_p", "path"), ("_n", "name")):

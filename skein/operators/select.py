@@ -1,20 +1,37 @@
 """Greedy selection under a token budget: rows in rank order, skipping what does not fit and trying what follows.
 
-The choice is sequential, so it is a fold over one sorted array of (rank, tokens); only these two numbers per row are
-gathered, and rows that can't fit even in an empty budget are left out before. The fold returns ranks, and the
-rows are joined back by rank.
+The choice is sequential, so it is a fold over one sorted array of (rank, tokens). What is left of the budget only shrinks, so
+of the rows with t tokens those taken are the first ones by rank, and no more than budget / t: the fold gathers that many of each
+length, at most about budget * ln(budget) pairs of numbers however many rows there are. Rows without tokens always fit and
+aren't gathered. The fold returns ranks, and the rows are joined back by rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .durable import written
+
+SALTS = 32  # parts of the rows of one length
+
 
 def ranked(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds rank from 1 by score, ties by the keys."""
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *keys)))
+    """Adds rank from 1 by score, ties by the keys.
+
+    Rows are sorted by ranges, numbered in each and shifted by the sizes of the ranges before, so no task sees all rows. They are
+    written, so that every use sees the same ranges: leave long columns out (see packed).
+    """
+    order = [F.desc("score"), *(F.col(k) for k in keys)]
+    placed = scored.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(sizes), "_part").withColumn("rank", (F.col("_before") + F.col("_row") + 1).cast("int")).select(*scored.columns, "rank")
 
 
 def _fold(cap: Column, full: Column | None = None, start: Column | None = None) -> Column:
@@ -31,27 +48,36 @@ def _fold(cap: Column, full: Column | None = None, start: Column | None = None)
 
 
 def _gathered(df: DataFrame, most: float) -> DataFrame:
-    rows = df.where(F.col("tokens") <= most).select(F.col("rank").cast("int").alias("rank"), F.col("tokens").cast("double").alias("tokens"))
+    """One row: the sorted (rank, tokens) that a fold up to `most` could take. A length's rows are cut to size in parts, then together."""
+    rows = df.where((F.col("tokens") > 0) & (F.col("tokens") <= most)).select(F.col("rank").cast("int").alias("rank"), F.col("tokens").cast("double").alias("tokens"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("rank"), F.lit(SALTS)))
+    for by in (["tokens", "_salt"], ["tokens"]):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("rank"))).where(F.col("_n") * F.col("tokens") <= most)
     return rows.agg(F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("rows"))
 
 
+def _picked(df: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows of df whose rank was taken (at most one for each token of the budget), and those without tokens."""
+    marked = df.join(F.broadcast(taken.withColumn("_taken", F.lit(True))), "rank", "left")
+    return marked.where((F.col("tokens") == 0) | F.col("_taken")).select(*df.columns)
+
+
 def greedy(df: DataFrame, cap: float) -> DataFrame:
     """df(rank, tokens, ...): the rows taken, in one pass."""
-    taken = _gathered(df, cap).select(F.explode(_fold(F.lit(float(cap)))["taken"]).alias("rank"))
-    return df.join(taken, "rank", "left_semi")
+    return _picked(df, _gathered(df, cap).select(F.explode(_fold(F.lit(float(cap)))["taken"]).alias("rank")))
 
 
 def pack_two_pass(df: DataFrame, budget: float, edges: DataFrame, depth: int = 1) -> DataFrame:
     """df(rank, path, tokens, ...), edges(src, dst): up to 0.7 of the budget by rank; then, up to all of it, chunks of files related to those taken. Adds pass (1 or 2)."""
     from .graph import related
 
-    one = greedy(df, 0.7 * budget)
+    one = written(greedy(df, 0.7 * budget))
     files = one.select("path").distinct()
     near = related(edges, files, depth).join(files, "path", "left_anti")
     more = df.join(near, "path", "left_semi")
     spent = one.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("spent"))
     two = _gathered(more, budget).crossJoin(F.broadcast(spent)).select(F.explode(_fold(F.lit(float(budget)), start=F.col("spent"))["taken"]).alias("rank"))
-    return one.withColumn("pass", F.lit(1)).unionByName(df.join(two, "rank", "left_semi").withColumn("pass", F.lit(2)))
+    return one.withColumn("pass", F.lit(1)).unionByName(_picked(more, two).withColumn("pass", F.lit(2)))
 
 
 def pack_single(df: DataFrame, budget: int, overhead: int = 50) -> DataFrame:
@@ -59,7 +85,18 @@ def pack_single(df: DataFrame, budget: int, overhead: int = 50) -> DataFrame:
     cap = float(int(0.95 * budget + 1e-9))
     costed = df.withColumn("tokens", F.col("tokens") + overhead)
     taken = _gathered(costed, cap).select(F.explode(_fold(F.lit(cap), full=F.lit(0.98 * cap))["taken"]).alias("rank"))
-    return df.join(taken, "rank", "left_semi")
+    return df.join(F.broadcast(taken), "rank", "left_semi")
+
+
+def packed(scored: DataFrame, chunks: DataFrame, keys: list[str], choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of scored that choose(its ranked rows) takes, with rank, the columns that choose adds and content from chunks(keys, content).
+
+    Rows are ranked and chosen without their contents. Those taken that have tokens are at most as many as the budget has, so they
+    are broadcast to find their contents; those without tokens have empty ones.
+    """
+    taken = choose(ranked(scored.drop("content"), keys))
+    some = chunks.select(*keys, "content").join(F.broadcast(taken.where("tokens > 0")), keys)
+    return some.unionByName(taken.where("tokens = 0").withColumn("content", F.lit("")))
 
 
 def stats(files: DataFrame, selected: DataFrame, budget: int) -> DataFrame:

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import chunk, graph, rank, render, select
+from skein.operators import cache, chunk, graph, rank, render, select
+from skein.operators.durable import written
+from skein.sources import github
+
+# Fixed value: the text for a tree without files that fit.
+NO_FILES = "No files found matching the criteria."
 
 
 class ContextEngine:
-    """profile P or B. embed: text column's vectors as a function DataFrame(chunk_id, text) -> DataFrame(chunk_id, vector), with the
-    query's vector from embed_query; judge: chunks to (chunk_id, relevance) for reranking."""
+    """profile P or B.
+
+    tokens: a text column's token count. cache_dir: folder of the chunk cache. embed: DataFrame(chunk_id, path, content, ...) to
+    (chunk_id, vector), see embed.vectors; embed_query: a text's vector, empty if there is none; imagine: a made-up answer to a query,
+    embedded with it (P) or in its place (B). judge: (chunks, query) to (chunk_id, relevance) for reranking.
+    """
 
-    def __init__(self, spark: SparkSession, profile: str = "P", budget: int | str = 50_000, strict: bool = False, fast: bool = False, follow_imports: bool = True, embed: Callable | None = None, embed_query: Callable | None = None, judge: Callable | None = None):
-        self.spark, self.profile, self.budget, self.strict, self.fast, self.follow = spark, profile, T.parse_budget(budget), strict, fast, follow_imports
-        self.embed, self.embed_query, self.judge = embed, embed_query, judge
+    def __init__(self, spark: SparkSession, profile: str = "P", budget: int | str = 50_000, strict: bool = False, fast: bool = False, follow_imports: bool = True, import_depth: int = 1, embed: Callable | None = None, embed_query: Callable | None = None, imagine: Callable | None = None, judge: Callable | None = None, tokens: Callable[[Column], Column] = T.token_estimate, cache_dir: str | None = None, clones: str = "~/.cache/skein"):
+        self.spark, self.profile, self.budget, self.strict, self.fast = spark, profile, T.parse_budget(budget), strict, fast
+        self.follow, self.depth, self.tokens, self.cache_dir, self.clones = follow_imports, import_depth, tokens, cache_dir, os.path.expanduser(clones)
+        self.embed, self.embed_query, self.imagine, self.judge = embed, embed_query, imagine, judge
 
     def scan(self, path: str, include: list[str] = (), exclude: list[str] = (), force_large: bool = False) -> DataFrame:
+        """Files of a folder, or of a GitHub repository's shallow clone."""
         from skein.sources.codebase import Codebase
 
+        if github.is_github(path):
+            path = github.clone(github.parse(path), self.clones)
         self.spark.dataSource.register(Codebase)
         return self.spark.read.format("codebase").options(path=path, profile=self.profile, include=",".join(include), exclude=",".join(exclude), forceLarge=str(force_large).lower()).load()
 
@@ -34,32 +48,72 @@ class ContextEngine:
         edges = graph.resolve_b(graph.extract_imports_b(files), files)
         return edges, graph.pagerank_b(nodes, edges)
 
-    def score(self, files: DataFrame, query: str) -> DataFrame:
-        chunks = (chunk.chunk_p(files, self.strict) if self.profile == "P" else chunk.chunk_b(files)).withColumn("tokens", T.token_estimate(F.col("content")))
-        chunks = chunks.withColumn("chunk_id", F.concat_ws(":", "path", "start_line"))
+    def chunks(self, files: DataFrame) -> DataFrame:
+        """Chunks with tokens and chunk_id; files that are in the cache aren't chunked again."""
+        make = (lambda f: chunk.chunk_p(f, self.strict)) if self.profile == "P" else chunk.chunk_b
+        made = cache.refresh(files, make, self.cache_dir) if self.cache_dir else make(files)
+        return made.withColumn("tokens", self.tokens(F.col("content"))).withColumn("chunk_id", F.concat_ws(":", "path", "start_line"))
+
+    def _query_vector(self, query: str) -> list[float]:
+        try:
+            made_up = self.imagine(query) if self.imagine else None
+        except Exception:  # without an answer the query stands alone
+            made_up = None
+        if made_up:
+            query = f"{query}\n---\n{made_up[:1000]}" if self.profile == "P" else made_up
+        return self.embed_query(query)
+
+    def score(self, files: DataFrame, query: str, chunks: DataFrame | None = None) -> DataFrame:
+        chunks = self.chunks(files) if chunks is None else chunks
         ranked = rank.keyword_rank_p(chunks, query) if self.profile == "P" else rank.keyword_rank_b(chunks, query)
         if self.profile == "B" and self.fast:
             return ranked
-        ranked = ranked.withColumnRenamed("score", "kw")
-        vectors = self.embed(chunks) if self.embed else None
-        ranked = rank.embedding_rank(ranked, vectors, self.embed_query(query)) if vectors is not None else ranked.withColumn("emb", F.lit(0.0))
+        ranked, embedded = ranked.withColumnRenamed("score", "kw"), self.embed is not None
+        vector = self._query_vector(query) if embedded else []
+        if vector:
+            ranked = rank.embedding_rank(ranked, self.embed(chunks), vector)
+        else:
+            ranked = ranked.withColumn("emb", F.col("kw") if embedded and self.profile == "P" else F.lit(0.0))
         _, central = self.graph(files)
         ranked = ranked.join(central, "path", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0 if self.profile == "P" else 0.5)))
         if self.profile == "P":
-            out = rank.hybrid_p(ranked.withColumn("importance", T.importance_p(F.col("path"))), vectors is not None)
+            out = rank.hybrid_p(ranked.withColumn("importance", T.importance_p(F.col("path"))), embedded)
         else:
             out = rank.hybrid_b(ranked.withColumn("combined", 0.6 * T.importance_b(F.col("path")) + 0.4 * (F.lit(0.5) if self.strict else F.col("centrality"))))
         return rank.rerank(out, self.judge(out, query), "chunk_id") if self.judge else out
 
     def select(self, files: DataFrame, query: str) -> DataFrame:
-        ranked = select.ranked(self.score(files, query), ["path", "start_line"])
-        if self.profile == "B":
-            return select.pack_single(ranked, self.budget)
-        edges = self.graph(files)[0] if self.follow else self.spark.createDataFrame([], "src string, dst string")
-        return select.pack_two_pass(ranked, self.budget, edges)
+        """Files and edges are read several times, so they are kept."""
+        files = files.persist()
+        chunks = self.chunks(files)
+        edges = written(self.graph(files)[0]) if self.profile == "P" and self.follow else None
+
+        def choose(rows: DataFrame) -> DataFrame:
+            if self.profile == "B":
+                return select.pack_single(rows, self.budget)
+            if edges is None:
+                return select.greedy(rows, 0.7 * self.budget).withColumn("pass", F.lit(1))
+            return select.pack_two_pass(rows, self.budget, edges, self.depth)
+
+        return select.packed(self.score(files, query, chunks), chunks, ["path", "start_line"], choose)
 
     def build(self, path: str, query: str, fmt: str = "markdown", **scan) -> str:
         files = self.scan(path, **scan)
+        if self.profile == "B" and files.isEmpty():
+            return NO_FILES
         out = self.select(files, query)
+        if self.profile == "P" and github.is_github(path):
+            repo = github.parse(path)
+            out = out.withColumn("path", F.concat(F.lit(f"{repo.owner}/{repo.name}/"), "path"))
         text = render.markdown_b(out) if self.profile == "B" else render.xml_p(out) if fmt == "xml" else render.markdown_p(out)
         return text.first()[0]
+
+
+def fetch_context(spark: SparkSession, path: str, query: str, budget: int | str = 50_000, include: list[str] = (), exclude: list[str] = (), semantic: bool = False, force_large: bool = False, **engine) -> str:
+    """Profile B's text for a query; by keywords alone unless semantic."""
+    return ContextEngine(spark, "B", budget, fast=not semantic, **engine).build(path, query, include=include, exclude=exclude, force_large=force_large)
+
+
+def ask(spark: SparkSession, path: str, query: str, answer: Callable[[str, str], str], **options) -> str:
+    """answer(context, query) with the context of fetch_context."""
+    return answer(fetch_context(spark, path, query, **options), query)

@@ -126,9 +126,13 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").cast("double").alias("relevance"))
 
 
-def _ranked_p(spark: SparkSession, d: str) -> DataFrame:
-    s = rank.keyword_rank_p(_docs(spark, d), QUERY_P).withColumn("tokens", T.token_estimate(F.col("content"))).withColumn("score", F.round("score", 6))
-    return select.ranked(s, ["path", "start_line"])
+def _packed_p(spark: SparkSession, d: str, choose) -> DataFrame:
+    s = rank.keyword_rank_p(_docs(spark, d).withColumn("tokens", T.token_estimate(F.col("content"))), QUERY_P).withColumn("score", F.round("score", 6))
+    return select.packed(s, _docs(spark, d), ["path", "start_line"], choose)
+
+
+def _greedy_p(spark: SparkSession, d: str) -> DataFrame:
+    return _packed_p(spark, d, lambda r: select.greedy(r, BUDGET))
 
 
 RANKED_SQL = "rk AS (SELECT *, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, row_number() OVER (ORDER BY round(score, 6) DESC, path) AS rank FROM kp)"
@@ -184,11 +188,11 @@ def tokenize_p(s, d):
 
 def tokenize_b(s, d):
     t = T.tokenize_b(F.col("content"), stop=True, stems=True)
-    return _docs(s, d).where(~F.col("content").rlike(r"[^\x00-\x7F]")).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return _docs(s, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 def stem_b(s, d):
-    w = s.read.parquet(f"{d}/documents.parquet").select(F.explode(T.tokenize_b(F.col("text"))).alias("word")).where("word rlike '^[a-z]+$'").distinct()
+    w = s.read.parquet(f"{d}/documents.parquet").select(F.explode(T.tokenize_b(F.col("text"))).alias("word")).distinct()
     return w.select("word", T.stem(F.col("word")).alias("stem"))
 
 
@@ -209,25 +213,24 @@ def keyword_rank_p(s, d):
 
 
 def keyword_rank_b(s, d):
-    return _round(rank.keyword_rank_b(_docs(s, d).where(~F.col("content").rlike(r"[^\x00-\x7F]")), QUERY_B), "doc_id", "score")
+    return _round(rank.keyword_rank_b(_docs(s, d), QUERY_B), "doc_id", "score")
 
 
 def pack_greedy(s, d):
-    return select.greedy(_ranked_p(s, d), BUDGET).select("rank", "path", "start_line", "score", "tokens")
+    return _greedy_p(s, d).select("rank", "path", "start_line", "score", "tokens")
 
 
 def pack_single_b(s, d):
-    return select.pack_single(_ranked_p(s, d), BUDGET).select("rank", "path", "tokens")
+    return _packed_p(s, d, lambda r: select.pack_single(r, BUDGET)).select("rank", "path", "tokens")
 
 
 def pack_two_pass_p(s, d):
     """Documents of the same language follow one another in rank order as if each imported the next."""
     from pyspark.sql.window import Window
 
-    r = _ranked_p(s, d)
     nxt = F.lead("path").over(Window.partitionBy("language").orderBy("doc_id"))
-    edges = r.select(F.col("path").alias("src"), nxt.alias("dst")).where("dst is not null")
-    return select.pack_two_pass(r, BUDGET, edges).select("rank", "path", "tokens", "pass")
+    edges = _docs(s, d).select(F.col("path").alias("src"), nxt.alias("dst")).where("dst is not null")
+    return _packed_p(s, d, lambda r: select.pack_two_pass(r, BUDGET, edges)).select("rank", "path", "tokens", "pass")
 
 
 def result_stats(s, d):
@@ -354,15 +357,15 @@ def rerank_b(s, d):
 
 
 def render_markdown_p(s, d):
-    return render.markdown_p(select.greedy(_ranked_p(s, d), BUDGET)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+    return render.markdown_p(_greedy_p(s, d)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
 def render_xml_p(s, d):
-    return render.xml_p(select.greedy(_ranked_p(s, d), BUDGET)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+    return render.xml_p(_greedy_p(s, d)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
 def render_markdown_b(s, d):
-    return render.markdown_b(select.greedy(_ranked_p(s, d), BUDGET)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+    return render.markdown_b(_greedy_p(s, d)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
 def _cached(s, d):
@@ -413,17 +416,16 @@ def oracle_sql() -> dict[str, str]:
     rer = lambda n, own: f"WITH {_keyword_p_sql()}, k AS (SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM kp), j AS (SELECT doc_id, max(quality)::DOUBLE AS rel FROM labels GROUP BY doc_id) SELECT doc_id, rn <= {n} AS reranked, round(CASE WHEN rn <= {n} THEN {own} * score + {1 - own:g} * coalesce(rel, 0.5) ELSE score END, 6) AS score FROM k LEFT JOIN j USING (doc_id)"
     text = lambda e, sep: f"{greedy} SELECT sha256(string_agg({e}, {sep} ORDER BY rank)) AS digest, length(string_agg({e}, {sep} ORDER BY rank)) AS n_chars FROM sel"
     named = "CASE WHEN name <> '' THEN {} ELSE '' END"
-    ascii_docs = DOCS_SQL.replace("FROM documents", "FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
     nl = "chr(10)"
     return {
         "tokenize_p": f"WITH {DOCS_SQL} SELECT doc_id, len({_tok_p_sql('content')})::BIGINT AS n_tokens, md5(array_to_string({_tok_p_sql('content')}, ' ')) AS digest FROM docs",
-        "tokenize_b": f"WITH {ascii_docs} SELECT doc_id, len({_tok_b_sql('content', True)})::BIGINT AS n_tokens, md5(array_to_string({_tok_b_sql('content', True)}, ' ')) AS digest FROM docs",
-        "stem_b": f"WITH w AS (SELECT DISTINCT unnest({_tok_b_sql('text', stems=False)}) AS word FROM documents) SELECT word, {_stem_sql('word')} AS stem FROM w WHERE regexp_full_match(word, '[a-z]+')",
+        "tokenize_b": f"WITH {DOCS_SQL} SELECT doc_id, len({_tok_b_sql('content', True)})::BIGINT AS n_tokens, md5(array_to_string({_tok_b_sql('content', True)}, ' ')) AS digest FROM docs",
+        "stem_b": f"WITH w AS (SELECT DISTINCT unnest({_tok_b_sql('text', stems=False)}) AS word FROM documents) SELECT word, {_stem_sql('word')} AS stem FROM w",
         "doc_freqs": f"WITH {DOCS_SQL}, t AS (SELECT unnest(list_distinct({_tok_p_sql('content')})) AS term FROM docs) SELECT term, count(*) AS df FROM t GROUP BY term",
         "corpus_stats": f"WITH {DOCS_SQL} SELECT count(*) AS n_docs, round(avg(len({_tok_p_sql('content')})), 6) AS avgdl FROM docs",
         "bm25": f"WITH {_bm25_sql()} SELECT doc_id, round(bm25::DOUBLE, 6) AS bm25 FROM bm",
         "keyword_rank_p": f"WITH {_keyword_p_sql()} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM kp",
-        "keyword_rank_b": f"WITH {_keyword_b_sql().replace(DOCS_SQL, ascii_docs)} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM kb",
+        "keyword_rank_b": f"WITH {_keyword_b_sql()} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM kb",
         "pack_greedy": f"{greedy} SELECT CAST(rank AS INT) AS rank, path, 1 AS start_line, round(score::DOUBLE, 6) AS score, tokens FROM sel",
         "pack_single_b": f"WITH {_keyword_p_sql()}, {RANKED_SQL}, f AS (SELECT list_reduce(list_transform(list(struct_pack(k := rank, t := tokens::DOUBLE + 50) ORDER BY rank), lambda x: struct_pack(total := x.t, taken := [x.k])), lambda a, x: CASE WHEN a.total + x.total <= 3800 AND a.total < 3724 THEN struct_pack(total := a.total + x.total, taken := list_concat(a.taken, x.taken)) ELSE a END, struct_pack(total := 0.0::DOUBLE, taken := []::BIGINT[])) AS r FROM rk WHERE tokens + 50 <= 3800), t AS (SELECT unnest(r.taken) AS rank FROM f) SELECT CAST(rank AS INT) AS rank, path, tokens FROM rk JOIN t USING (rank)",
         "pack_two_pass_p": f"WITH {_keyword_p_sql()}, {RANKED_SQL}, e0 AS (SELECT path AS src, lead(path) OVER (PARTITION BY language ORDER BY doc_id) AS dst FROM rk), f1 AS (SELECT {FOLD_SQL.format(cap=0.7 * BUDGET)} AS r FROM rk WHERE tokens <= {0.7 * BUDGET}), one AS (SELECT rk.* FROM rk JOIN (SELECT unnest(r.taken) AS rank FROM f1) USING (rank)), near AS (SELECT dst AS path FROM e0 WHERE src IN (SELECT path FROM one) AND dst IS NOT NULL UNION SELECT src FROM e0 WHERE dst IN (SELECT path FROM one)), f2 AS (SELECT {FOLD_SQL.format(cap=BUDGET).replace('0.0::DOUBLE, taken := []', 'max(spent)::DOUBLE, taken := []')} AS r FROM rk, (SELECT sum(tokens) AS spent FROM one) WHERE path IN (SELECT path FROM near) AND path NOT IN (SELECT path FROM one)), two AS (SELECT rk.* FROM rk JOIN (SELECT unnest(r.taken) AS rank FROM f2) USING (rank)) SELECT CAST(rank AS INT) AS rank, path, tokens, 1 AS pass FROM one UNION ALL SELECT CAST(rank AS INT), path, tokens, 2 FROM two",
