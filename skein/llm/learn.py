@@ -26,16 +26,33 @@ def sample(rows: DataFrame, label: str, values: list, per_class: int) -> DataFra
     return reduce(DataFrame.union, each)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+def _within(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """(doc_id, y) of the sampled rows(doc_id, text, y), drawn in the sample's order until their class has most_bytes of text.
+
+    Rows count whole, whatever their length, so long rows make the sample smaller, not shorter."""
+    sizes = rows.groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).withColumn("h", F.xxhash64("doc_id")).collect()
+    have, drawn = {0: 0, 1: 0}, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if have[r["y"]] < most_bytes:
+            have[r["y"]] += r["n"]
+            drawn.append((r["doc_id"], r["y"]))
+    return rows.sparkSession.createDataFrame(drawn, rows.select("doc_id", "y").schema)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int, most_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """Sampled (y, text) for 0/1 labels outside the test fold, and how many labelled documents each class has.
 
-    Of repeated labels of a document the largest counts. At most 2 * per_class ids are sampled, so they are broadcast.
+    Of repeated labels of a document the largest counts. At most 2 * per_class ids are sampled, so they are broadcast. With
+    most_bytes fewer are drawn where a class's texts are longer than that together.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != test_fold)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where("doc_id is not null")
     counts = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
     ids = sample(known, "y", [0, 1], per_class)
-    return bounded(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", "text"), counts
+    texts = bounded(docs).select("doc_id", "text")
+    if most_bytes is not None:
+        ids = _within(texts.join(F.broadcast(ids), "doc_id"), most_bytes)
+    return texts.join(F.broadcast(ids), "doc_id").select("y", "text"), counts
 
 
 def add_scores(rows: DataFrame, text: str, score: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField], keep: Callable[[list[pa.Array]], np.ndarray] | None = None) -> DataFrame:
