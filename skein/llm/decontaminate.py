@@ -5,6 +5,7 @@ only if it holds at least one word shingle of some item of that length, which an
 SimHash is looked up in four tables, one for each 16-bit block: two fingerprints within RADIUS bits differ by at
 most RADIUS // 4 bits in some block, and each item stands in the tables under all values so close to its own, so
 no fingerprint within the radius is missed. Each candidate is then compared exactly by its weighted shingles.
+A document with fewer words than an item has no such window: if it shares a shingle with the item, it is compared as a whole.
 """
 
 from __future__ import annotations
@@ -114,9 +115,10 @@ def _hits(index: Index, w: Words, row: int, at: np.ndarray, item: np.ndarray, th
         s = s[(s >= begin) & (s + n <= end)]
         starts.append(s)
         sizes.append(np.full(len(s), n))
+    best = _short(index, w, begin, end, at, item, threshold)
     start, size = np.concatenate(starts), np.concatenate(sizes)
     if not len(start):
-        return []
+        return _rows(index, best, begin, end)
     q = np.minimum(size, K)
     prints, hashes = np.zeros(len(start), np.uint64), {}
     for k in set(q.tolist()):
@@ -127,7 +129,6 @@ def _hits(index: Index, w: Words, row: int, at: np.ndarray, item: np.ndarray, th
         run = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(hashes[k][1]), axis=0, dtype=np.int32)])
         a = start[mine] - lo
         prints[mine] = _fold(run[a + size[mine] - k + 1] - run[a])
-    best: dict[int, tuple] = {}
     for v, i in zip(*(x.tolist() for x in index.search(prints)), strict=True):
         if size[v] != index.words[i]:
             continue
@@ -136,12 +137,33 @@ def _hits(index: Index, w: Words, row: int, at: np.ndarray, item: np.ndarray, th
         s = similarity(Counter(h[a : a + int(size[v] - q[v]) + 1].tolist()), index.bags[i])
         if s >= threshold and (i not in best or (s, -start[v]) > (best[i][0], -best[i][1])):
             best[i] = s, int(start[v]), int(np.bitwise_count(prints[v] ^ index.prints[i]))
-    return [(index.ids[i], a - begin, int(index.words[i]), s, d) for i, (s, a, d) in sorted(best.items())]
+    return _rows(index, best, begin, end)
+
+
+def _rows(index: Index, best: dict[int, tuple], begin: int, end: int) -> list[tuple]:
+    return [(index.ids[i], a - begin, min(int(index.words[i]), end - begin), s, d) for i, (s, a, d) in sorted(best.items())]
+
+
+def _short(index: Index, w: Words, begin: int, end: int, at: np.ndarray, item: np.ndarray, threshold: float) -> dict[int, tuple]:
+    """Hits of the whole row on the items that have more words and a shingle at `at`, whatever its fingerprint."""
+    n, best = end - begin, {}
+    q = index.q[item]
+    # the most that the row's shingles can be of the item's
+    able = (index.words[item] > n) & (at + q <= end) & ((n - q + 1) / (index.words[item] - q + 1) >= threshold)
+    for k in np.unique(q[able]).tolist():
+        h = window_hashes(w.hashes[begin:end], k)
+        bag, own = Counter(h.tolist()), simhash(h)
+        for i in np.unique(item[able & (q == k)]).tolist():
+            s = similarity(bag, index.bags[i])
+            if s >= threshold:
+                best[i] = s, begin, (own ^ int(index.prints[i])).bit_count()
+    return best
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity, hamming: for each row of docs and each item, the most similar window
-    (the first of equals) with weighted-shingle similarity of at least `threshold` and a fingerprint within RADIUS bits.
+    (the first of equals) with weighted-shingle similarity of at least `threshold` and a fingerprint within RADIUS bits. A row with
+    fewer words than the item is one window, with n_words of its own and any fingerprint.
 
     Items go out in blocks of ITEMS, each a pass over docs. Items and texts without words, and null texts, have no hits.
     Rows of docs may repeat and ids may be null; repeated items are reported once each. An item of under K words is one shingle.

@@ -1,8 +1,10 @@
 """Inputs on which an operator once did less than the whole job."""
 
+from collections import Counter
+
 import numpy as np
 
-from skein.llm import learn, toxicity
+from skein.llm import decontaminate, learn, toxicity
 
 
 def marked(spark, rng, sizes, every=3):
@@ -36,3 +38,41 @@ def test_toxicity_learns_from_long_rows(spark, monkeypatch):
     for y in (0, 1):
         have = [n for c, n in drawn if c == y]
         assert set(have) == {30, 3000} and 20 < len(have) < counts[y]
+
+
+def similar(text, item):
+    """(similarity, start, words) of the best window by brute force; a shorter text is one window."""
+    w, k = text.split(), item.split()
+    grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4)))
+    want, n, best = grams(k), min(len(w), len(k)), (0.0, 0, 0)
+    for i in range(len(w) - n + 1):
+        have = grams(w[i : i + n])
+        both = (have & want).total()
+        best = max(best, (both / (have.total() + want.total() - both), -i, n))
+    return best[0], -best[1], best[2]
+
+
+def test_text_shorter_than_the_item(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    items = [word(n) for n in (59, 30, 14, 200, 4)]
+    docs = []
+    for k in items:
+        for cut in (1, 2, 3, 4, 6, 9, 12, 30):
+            docs += [k[:-cut], k[cut:], k[cut // 2 : len(k) - (cut - cut // 2)]]
+        docs += [k, k[:-3] + word(2), [*k[: len(k) // 2], "changed", *k[len(k) // 2 : -2]], [*k[:-1], *word(20)]]
+    docs = [" ".join(d) for d in docs]
+    items = [" ".join(k) for k in items]
+    want = {}
+    for d, text in enumerate(docs):
+        for i, k in enumerate(items):
+            if text and (hit := similar(text, k))[0] >= 0.8:
+                want[d, i] = hit
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"], r["n_words"]) for r in decontaminate.contamination(frame, bench).collect()}
+    assert got == want and any(n < len(items[i].split()) for (_, i), (_, _, n) in want.items())
+    left = {r["doc_id"] for r in decontaminate.decontaminate(frame, bench).collect()}
+    assert left == set(range(len(docs))) - {d for d, _ in want}
+    # the reviewer's case
+    assert any(docs[d] == " ".join(items[0].split()[:55]) for d, i in want if not i)
