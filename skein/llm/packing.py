@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import bounded, cut, rank_in
-from .words import slices, text_bytes, trimmed, words
+from .words import LOWER, slices, text_bytes, trimmed, words
 
 END_ID = 1
 CACHE_WORDS = 600_000  # distinct words whose ids a Python worker keeps; beyond, it starts afresh
@@ -37,7 +37,8 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins words across white space: each distinct word is encoded once.
 
     Words are runs without ASCII white space, with A-Z lowered as the tokenizer itself does, and with one `.` or `,` after an ASCII
-    letter as a word of its own. A text with `<|` may hold a special token and is encoded as it is.
+    letter as a word of its own. A capital before a non-ASCII byte stays: the tokenizer composes marks (NFC) before it lowers, and some
+    compose with the small letter only. A text with `<|` may hold a special token and is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -66,7 +67,9 @@ class WordTokenizer:
         self.keys, self.at, self.count = np.insert(self.keys, spot, keys), np.insert(self.at, spot, at), np.insert(self.count, spot, count)
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        w = words(data, at)
+        marked = np.zeros(len(data), bool)
+        marked[:-1] = data[1:] >= 128
+        w = words(np.where(marked, data, LOWER[data]), at, lower=False)
         last = w.data[w.ends - 1] if len(w.ends) else w.data[:0]
         before = w.data[np.maximum(w.ends - 2, 0)]
         split = ((last == 46) | (last == 44)) & (w.ends - w.starts > 1) & (before >= 97) & (before <= 122)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from skein.llm import decontaminate, learn, toxicity
+from skein.llm import decontaminate, learn, packing, queries, toxicity
 
 
 def marked(spark, rng, sizes, every=3):
@@ -76,3 +76,16 @@ def test_text_shorter_than_the_item(spark):
     assert left == set(range(len(docs))) - {d for d, _ in want}
     # the reviewer's case
     assert any(docs[d] == " ".join(items[0].split()[:55]) for d, i in want if not i)
+
+
+def test_capitals_with_marks_of_their_own(spark):
+    letters = [chr(c) for c in range(65, 91)]
+    marks = [chr(c) for c in [*range(0x300, 0x370), 0x5B0, 0x591, 0x1DC0, 0x20D0]]
+    texts = [f"x{a}{m} {a}{m}b. {a.lower()}{m} {a}\u05b0{m}" for a in letters for m in marks]
+    texts += ["J\u030c", "H\u0331 T\u0308", "Ends in J", "\u030c starts", "ÀB ÉCOLE L’ÉTÉ. IJ\u030c, \u0130I\u0307 \u212aK", "MIXED. Case, A\u030a."]
+    path = queries.tokenizer_path()
+    tok = packing._tokenizer(path)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.token_pieces(frame, path, 4096, with_ids=True).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert got[len(letters) * len(marks)] == [329, 136, 490, 1]
