@@ -40,13 +40,13 @@ def _within(rows: DataFrame, most_bytes: int) -> DataFrame:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int, most_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """Sampled (y, text) for 0/1 labels outside the test fold, and how many labelled documents each class has.
+    """Sampled (y, text) for 0/1 labels outside the test fold, and how many labelled documents of docs each class has.
 
     Of repeated labels of a document the largest counts. At most 2 * per_class ids are sampled, so they are broadcast. With
     most_bytes fewer are drawn where a class's texts are longer than that together.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != test_fold)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    known = known.where("doc_id is not null")
+    known = known.where("doc_id is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
     ids = sample(known, "y", [0, 1], per_class)
     texts = bounded(docs).select("doc_id", "text")

@@ -89,3 +89,13 @@ def test_capitals_with_marks_of_their_own(spark):
     got = {r["doc_id"]: r["ids"] for r in packing.token_pieces(frame, path, 4096, with_ids=True).collect()}
     assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     assert got[len(letters) * len(marks)] == [329, 136, 490, 1]
+
+
+def test_only_labels_of_the_documents_are_drawn(spark):
+    docs = spark.createDataFrame([(i * 100, f"text {i}") for i in range(120)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 300 == 0)) for i in range(12_000)], "doc_id long, toxic int")
+    for most in (None, 10_000):
+        texts, counts = learn.labelled_texts(docs, marks, "toxic", 5, 0, 20, most)
+        assert sorted(r["y"] for r in texts.collect()) == [0] * 20 + [1] * 20
+        there = [r["doc_id"] for r in docs.where(learn.fold("doc_id", 5) != 0).collect()]
+        assert counts == {1: sum(i % 300 == 0 for i in there), 0: sum(i % 300 > 0 for i in there)}
