@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import bounded, cut, rank_in
-from .words import LOWER, slices, text_bytes, trimmed, words
+from .words import LOWER, SLICE_BYTES, cuts, slices, text_bytes, trimmed, words
 
 END_ID = 1
 CACHE_WORDS = 600_000  # distinct words whose ids a Python worker keeps; beyond, it starts afresh
@@ -67,6 +67,12 @@ class WordTokenizer:
         self.keys, self.at, self.count = np.insert(self.keys, spot, keys), np.insert(self.at, spot, at), np.insert(self.count, spot, count)
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row. A long row is read range by range, cut at white space, which no token goes over."""
+        if len(at) != 2 or at[-1] <= 2 * SLICE_BYTES:
+            return self._ids(data, at)
+        return [np.concatenate([self._ids(data[a:b], np.array([0, b - a]))[0] for a, b in cuts(data, 0, int(at[-1]))])]
+
+    def _ids(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         marked = np.zeros(len(data), bool)
         marked[:-1] = data[1:] >= 128
         w = words(np.where(marked, data, LOWER[data]), at, lower=False)
@@ -115,7 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "
         tok = word_tokenizer(tokenizer)
         for b in batches:
             data, at = text_bytes(b.column(1))
-            for i, j in slices(at, 1 << 20):
+            for i, j in slices(at):
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
                 for r, ids in enumerate(tok(data[at[i] : at[j]], at[i : j + 1] - at[i]), i):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
@@ -255,13 +261,14 @@ class Plan:
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces(doc_id, piece, start, length, ids_crc32, ...): adds sequence_id and offset. pieces must be a stored table."""
+    """pieces(doc_id, piece, start, length, ids_crc32, ...): adds sequence_id and offset. pieces must be a stored table; a column
+    _row that tells its rows apart keeps equal rows from being ranked by one task, and is dropped."""
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     plan = Plan(counts, capacity)
     rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 6)
     key = rows[:, 0] << 40 | rows[:, 1]
-    buckets = max(16, -(-sum(counts.values()) // 20_000))
-    ranked = rank_in(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"], "rank", buckets)
+    own = [c for c in pieces.columns if c == "_row"]
+    ranked = rank_in(pieces, "length", ["doc_id", "piece", "start", "ids_crc32", *own], "rank").drop(*own)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,4 +288,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, id_col
 
     Null text counts as empty; ids may be null or repeated; an empty table gives no rows; other columns are not read.
     """
-    return pack(cut(token_pieces(docs, tokenizer, capacity, id_col, text_col)), capacity)
+    return pack(cut(token_pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())), capacity)

@@ -91,11 +91,11 @@ def minimax_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     """doc_id, size (UTF-8 bytes + 1), text_crc32, key (the group), shard, slot (gapless from 0 within the shard).
 
     A null text counts as empty; an empty table gives no rows; equal texts (repeated rows too) share a shard, so a
-    group larger than an even share makes its shard larger. Other columns of docs are not read.
+    group larger than an even share makes its shard larger. Ids may be null or repeated. Other columns of docs are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key")))
+    base = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("_row")))
     groups = cut(base.groupBy("key").agg(F.sum("size").alias("bytes")))
     begins, _ = minimax_cuts(groups, shards)
     shard = sum(((F.col("key") >= F.lit(k)).cast("int") for k in begins[1:]), F.lit(0))
-    return rank_in(base.withColumn("shard", shard), "shard", ["doc_id", "text_crc32", "size"], "slot")
+    return rank_in(base.withColumn("shard", shard), "shard", ["doc_id", "text_crc32", "size", "_row"], "slot").drop("_row")

@@ -1,7 +1,9 @@
 """Words and word shingles of Arrow text columns as 64-bit hashes, whole batches at a time.
 
 A word is a maximal run of bytes other than ASCII white space; A-Z count as a-z. Word hashes are
-differences of a running polynomial sum over the batch's bytes, so no Python object is made for a word.
+differences of a running polynomial sum over the bytes, so no Python object is made for a word. The arrays for that take
+some 60 bytes for each byte of text, so texts are read in slices of about SLICE_BYTES: several short rows, or a part of a long
+one that ends at white space. What is left of a long text is 8 bytes for each word.
 """
 
 from __future__ import annotations
@@ -139,17 +141,46 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def cuts(data: np.ndarray, begin: int, end: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` bytes, one after another, that end at white space or at `end`: no word is in two.
+
+    A word longer than that makes its range longer, which is the only way in which memory grows with a text's form."""
+    a = begin
+    while a < end:
+        b, look = min(a + limit, end), 1 << 16
+        while b < end:
+            white = np.flatnonzero(WHITE[data[b : b + look]])
+            if len(white):
+                b += int(white[0])
+                break
+            b, look = min(b + look, end), look * 2
+        yield a, b
+        a = b
+
+
+def hashed(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and where each row's begin. Rows longer than 2 * SLICE_BYTES are read range by range."""
+    if len(at) != 2 or at[-1] <= 2 * SLICE_BYTES:
+        w = words(data, at)
+        return w.hashes, w.ptr
+    parts = [words(data[a:b], np.array([0, b - a])).hashes for a, b in cuts(data, 0, int(at[-1]))]
+    every = np.concatenate(parts)
+    return every, np.array([0, len(every)])
+
+
+def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's k-word shingles in order, and where each row's begin. With fewer words: the whole sequence as one; without words: none."""
-    count = np.diff(w.ptr)
+    count = np.diff(at)
     made = np.maximum(count - k + 1, 0)
     short = np.flatnonzero((count > 0) & (count < k))
     made[short] = 1
     ptr = np.concatenate([[0], np.cumsum(made)])
-    every = window_hashes(w.hashes, k)
+    every = window_hashes(hashes, k)
+    if len(count) == 1 and not len(short):
+        return every, ptr
     whole = np.where(count >= k, made, 0)
     out = np.zeros(int(ptr[-1]), _U)
-    out[spread(whole, ptr[:-1])] = every[spread(whole, w.ptr[:-1])]
+    out[spread(whole, ptr[:-1])] = every[spread(whole, at[:-1])]
     for r in short:
-        out[ptr[r]] = window_hashes(w.hashes[w.ptr[r] : w.ptr[r + 1]], int(count[r]))[0]
+        out[ptr[r]] = window_hashes(hashes[at[r] : at[r + 1]], int(count[r]))[0]
     return out, ptr
