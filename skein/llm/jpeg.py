@@ -1,7 +1,7 @@
 """Progressive JPEG: scans accumulate into coefficient arrays; numpy does the inverse transform.
 
-`decode` takes any 8-bit progressive Huffman JPEG of one or three components with sampling factors 1 or 2:
-spectral selection, successive approximation, end-of-band runs, interleaved DC scans. `encode_bytes` stores any
+`decode` takes any 8-bit progressive Huffman JPEG of one or three components with sampling factors 1 or 2, of at most PIXELS pixels and without
+restart intervals: spectral selection, successive approximation, end-of-band runs, interleaved DC scans. `encode_bytes` stores any
 bytes losslessly as quantised coefficients, one byte in each: byte b is the coefficient 256 + b, sent as the top
 seven bits in first scans (one spectral band 1-31, one 32-63) and the last two bits in refinement scans. All its
 codes of one kind have the same length with their extra bits, so it and `decode` can treat whole scans as arrays.
@@ -10,11 +10,13 @@ codes of one kind have the same length with their extra bits, so it and `decode`
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 UNIT = 576
+PIXELS = 1 << 26
 #: The zigzag order of an 8 x 8 block (place in the block of each coefficient).
 ZIGZAG = np.array([k for _, _, k in sorted((r + c, (r if (r + c) % 2 else c), r * 8 + c) for r in range(8) for c in range(8))])
 _T = np.array([[(0.5 if u else 0.5 / 2**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)], np.float32)
@@ -293,7 +295,7 @@ class Image:
     """A decoded file: coefficients by component (blocks in zigzag order), size, comments."""
 
     def __init__(self) -> None:
-        self.height = self.width = 0
+        self.height = self.width = self.end = 0
         self.comps: list[Component] = []
         self.quant: dict[int, np.ndarray] = {}
         self.comments: list[bytes] = []
@@ -324,16 +326,35 @@ class Image:
         return np.clip(out, 0, 255, out=out).astype(np.uint8)
 
 
-def decode(data: bytes) -> Image:
-    """The image of a progressive JPEG; ValueError for anything else."""
-    if data[:2] != b"\xff\xd8":
+def decode(data: bytes, at: int = 0) -> Image:
+    """The image of the progressive JPEG that begins there; ValueError for anything else."""
+    try:
+        return _decode(data, at)
+    except (ArithmeticError, AttributeError, LookupError, StopIteration, TypeError, struct.error) as e:
+        raise ValueError("broken JPEG") from e
+
+
+def decode_all(data: bytes) -> Iterator[Image]:
+    """The images that stand one after another, at least one; ValueError if there is anything else."""
+    at = 0
+    while at < len(data) or not at:
+        img = decode(data, at)
+        at = img.end
+        yield img
+
+
+def _decode(data: bytes, at: int) -> Image:
+    if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    img, at, tables, units = Image(), 2, {}, (0, 0)
+    img, at, tables, units = Image(), at + 2, {}, (0, 0)
     while True:
         if data[at] != 0xFF:
             raise ValueError("marker expected")
         kind = data[at + 1]
         if kind == 0xD9:
+            if not img.comps or any(len(img.quant.get(c.quant, ())) != 64 for c in img.comps):
+                raise ValueError("no image, or no quantisation table for it")
+            img.end = at + 2
             return img
         (n,) = struct.unpack_from(">H", data, at + 2)
         body, at = data[at + 4 : at + 2 + n], at + 2 + n
@@ -350,9 +371,11 @@ def decode(data: bytes) -> Image:
                 body = body[17 + total :]
         elif kind == 0xC2:
             bits, img.height, img.width, parts = struct.unpack(">BHHB", body[:6])
-            if bits != 8 or parts not in (1, 3):
-                raise ValueError("8-bit images of one or three components only")
+            if bits != 8 or parts not in (1, 3) or not 0 < img.height * img.width <= PIXELS:
+                raise ValueError("8-bit images of one or three components and a bounded size only")
             img.comps = [Component(c, hv >> 4, hv & 15, q) for c, hv, q in zip(*[iter(body[6:])] * 3, strict=True)]
+            if any(c.h not in (1, 2) or c.v not in (1, 2) for c in img.comps):
+                raise ValueError("sampling factors 1 and 2 only")
             most_h, most_v = max(c.h for c in img.comps), max(c.v for c in img.comps)
             units = -(-img.height // (8 * most_v)), -(-img.width // (8 * most_h))
             for c in img.comps:
@@ -388,6 +411,8 @@ def _table(lengths: tuple[tuple[int, int], ...], ac: bool) -> _Table:
 
 
 def stored_bytes(img: Image) -> bytes:
-    """What encode_bytes stored, from the decoded coefficients."""
+    """What encode_bytes stored, from the decoded coefficients; ValueError if the image wasn't made by it."""
+    if not img.comments or len(img.comments[0]) != 8:
+        raise ValueError("no payload")
     (n,) = struct.unpack(">Q", img.comments[0])
     return np.concatenate([c.coef.reshape(-1) for c in img.comps]).astype(np.uint8).tobytes()[:n]
