@@ -94,7 +94,19 @@ def masked_text(formatted: Column, loss: Column) -> Column:
 
 
 def chains(rows: DataFrame, tree: str, turn: str) -> DataFrame:
-    """Linear conversations as reply trees: each row answers the one before it by turn (ties by role, then text)."""
-    order = Window.partitionBy(tree).orderBy(F.col(turn).asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    i = F.row_number().over(order).cast("long")
-    return rows.select(F.col(tree).alias("tree"), i.alias("id"), "role", "text").withColumn("parent", F.when(F.col("id") > 1, F.col("id") - 1)).withColumn("score", F.lit(0.0))
+    """Linear conversations as reply trees: each row answers the one before it by turn (ties by role, then text).
+
+    Rows are sorted by ranges and numbered through, so a conversation of many rows is numbered by several tasks.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("tree", "turn", "role", "text")]
+    sorted_rows = rows.select(F.col(tree).alias("tree"), F.col(turn).alias("turn"), "role", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits of the number are the range
+    placed = cut(sorted_rows.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part"), "tree").agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    # rows of the tree in the ranges before; a tree has a row for each range that it reaches into
+    before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("tree").alias("t"), F.col("part").alias("p"), "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = placed.join(sizes, F.col("tree").eqNullSafe(F.col("t")) & (part == F.col("p")))
+    numbered = numbered.select("tree", (F.col("at") - F.col("low") + F.col("before") + 1).alias("id"), "role", "text")
+    return numbered.withColumn("parent", F.when(F.col("id") > 1, F.col("id") - 1)).withColumn("score", F.lit(0.0))
