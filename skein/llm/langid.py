@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .learn import add_scores, fold, sample
+from .learn import add_scores, fold, one_each, sample
 from .tables import bounded
-from .words import LOWER, slices, text_bytes, trim, trimmed
+from .words import LOWER, SLICE_BYTES, slices, text_bytes, trim, trimmed
 
 BITS2, BITS3 = 11, 12
 WIDTH = 256 + (1 << BITS2) + (1 << BITS3)
 ROWS = 2000  # rows learned from, over all languages
+LANGS = 512  # languages at most; more is an error
 NONE = "und"
 
 
@@ -35,8 +36,8 @@ class Model(NamedTuple):
     margin: float  # a smaller difference of losses is ambiguous
 
 
-def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Square roots of the n-gram counts of each row, at unit length: float32 (rows, WIDTH)."""
+def _counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Counts of the n-grams of each row: float32 (rows, WIDTH)."""
     n, low = len(at) - 1, LOWER[data].astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(at))
     last = np.repeat(at[1:], np.diff(at)) - np.arange(len(data))  # bytes left in the row
@@ -49,6 +50,22 @@ def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     triple = (low[:-2] << 16 | low[1:-1] << 8 | low[2:])[three] if len(low) > 2 else low[:0]
     spot = (triple * 0x9E3779B1 >> 15 & (1 << BITS3) - 1) + (row[:-2][three] << BITS3) if len(low) > 2 else triple
     out[:, 256 + (1 << BITS2) :] = np.bincount(spot, minlength=n << BITS3).reshape(n, -1)
+    return out
+
+
+def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Square roots of the n-gram counts of each row, at unit length: float32 (rows, WIDTH). A long row is counted part by part."""
+    if len(at) != 2 or at[-1] <= 2 * SLICE_BYTES:
+        out = _counts(data, at)
+    else:
+        out, n = np.zeros((1, WIDTH)), int(at[-1])
+        for a in range(0, n, SLICE_BYTES):
+            b = min(a + SLICE_BYTES, n)
+            # two bytes of the next part complete the n-grams that begin in this one; what lies in those bytes alone counts there
+            out += _counts(data[a : b + 2], np.array([0, min(b + 2, n) - a]))
+            if b < n:
+                out -= _counts(data[b : b + 2], np.array([0, min(b + 2, n) - b]))
+        out = out.astype(np.float32)
     np.sqrt(out, out=out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -69,9 +86,12 @@ def codewords(n: int) -> np.ndarray:
 
 
 def fit(rows: DataFrame, max_rows: int = ROWS) -> Model:
-    """rows(doc_id, text, lang): learns from at most max_rows of them, as many of each language. Null texts or languages are left out."""
+    """rows(doc_id, text, lang): learns from at most max_rows of them, as many of each language. Null texts, languages or ids are left
+    out; of rows that share an id and a language one is read. More than LANGS languages are an error."""
     rows = bounded(rows).where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(LANGS + 1).collect())
+    if len(langs) > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
     if not langs:
         return Model([], np.zeros((0, 1)), np.zeros((WIDTH, 1), np.float32), np.zeros(1), np.ones(1), 0.0)
 
@@ -83,7 +103,7 @@ def fit(rows: DataFrame, max_rows: int = ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     ids = F.broadcast(sample(rows.select("doc_id", "lang").where("doc_id is not null").distinct(), "lang", langs, max(8, max_rows // len(langs))))
-    got = rows.join(ids, ["doc_id", "lang"]).select("lang", "text").mapInArrow(trimmed(featured), "lang string, x binary").collect()
+    got = one_each(rows.join(ids, ["doc_id", "lang"]), "doc_id", "lang").select("lang", "text").mapInArrow(trimmed(featured), "lang string, x binary").collect()
     got.sort(key=lambda r: (r[1], r[0]))
     order = np.random.default_rng(1).permutation(len(got))
     x = np.stack([np.frombuffer(got[i][1], np.float16) for i in order]).astype(np.float32)
@@ -147,7 +167,8 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
 def identify(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     """docs' other columns with lang_pred, score and ambiguous instead of text; learn_from(doc_id, text, lang).
 
-    A text that is null or without a letter gets `und`, and so does every text if there is nothing to learn from.
+    A text that is null or without a letter gets `und`, and so does every text if there is nothing to learn from. Rows may repeat
+    and ids may be null; columns of docs named like the results are replaced.
     """
     model = fit(learn_from)
     names = pa.array([*model.langs, NONE])

@@ -27,7 +27,7 @@ def sample(rows: DataFrame, label: str, values: list, per_class: int) -> DataFra
 
 
 def _within(rows: DataFrame, most_bytes: int) -> DataFrame:
-    """(doc_id, y) of the sampled rows(doc_id, text, y), drawn in the sample's order until their class has most_bytes of text.
+    """(doc_id, y) of the sampled rows(doc_id, y, text), drawn in the sample's order until their class has most_bytes of text.
 
     Rows count whole, whatever their length, so long rows make the sample smaller, not shorter."""
     sizes = rows.groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).withColumn("h", F.xxhash64("doc_id")).collect()
@@ -42,8 +42,8 @@ def _within(rows: DataFrame, most_bytes: int) -> DataFrame:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int, most_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """Sampled (y, text) for 0/1 labels outside the test fold, and how many labelled documents of docs each class has.
 
-    Of repeated labels of a document the largest counts. At most 2 * per_class ids are sampled, so they are broadcast. With
-    most_bytes fewer are drawn where a class's texts are longer than that together.
+    Of repeated labels of a document the largest counts, and of rows that share a doc_id one is read. At most 2 * per_class ids
+    are sampled, so they are broadcast. With most_bytes fewer are drawn where a class's texts are longer than that together.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != test_fold)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where("doc_id is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -51,12 +51,20 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, t
     ids = sample(known, "y", [0, 1], per_class)
     texts = bounded(docs).select("doc_id", "text")
     if most_bytes is not None:
-        ids = _within(texts.join(F.broadcast(ids), "doc_id"), most_bytes)
-    return texts.join(F.broadcast(ids), "doc_id").select("y", "text"), counts
+        ids = _within(one_each(texts.join(F.broadcast(ids), "doc_id"), "doc_id", "y"), most_bytes)
+    return one_each(texts.join(F.broadcast(ids), "doc_id"), "doc_id", "y").select("y", "text"), counts
+
+
+def one_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows that share the keys the one whose text hashes lowest; tasks offer their own lowest."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def add_scores(rows: DataFrame, text: str, score: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField], keep: Callable[[list[pa.Array]], np.ndarray] | None = None) -> DataFrame:
-    """rows with what score() makes of each batch's texts. With keep: rows as they are, those it says only."""
+    """rows with what score() makes of each batch's texts in place of the text and of columns named like that (whatever their case).
+    With keep: rows as they are, those it says only."""
+    made_too = {f.name.lower() for f in fields}
+    left = [f for f in rows.schema if f.name != text and f.name.lower() not in made_too]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,13 +76,13 @@ def add_scores(rows: DataFrame, text: str, score: Callable[[pa.Array], list[pa.A
                 for i in range(0, b.num_rows, 1000):
                     yield b.slice(i, 1000).filter(good.slice(i, 1000))
             else:
-                left = [c for c in b.schema.names if c != text]
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in left), *made], [*left, *(f.name for f in fields)])
+                own = [f.name for f in left]
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in own), *made], [*own, *(f.name for f in fields)])
 
     bounded(rows)
     if keep:
         return rows.mapInArrow(trimmed(run), rows.schema)
-    return rows.mapInArrow(trimmed(run), T.StructType([f for f in rows.schema if f.name != text] + fields))
+    return rows.mapInArrow(trimmed(run), T.StructType(left + fields))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

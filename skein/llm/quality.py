@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .learn import add_scores, labelled_texts, platt, sigmoid
-from .words import mix, slices, text_bytes, trim, trimmed, window_hashes, words
+from .words import SLICE_BYTES, cuts, mix, slices, text_bytes, trim, trimmed, window_hashes, words
 
 BITS = 15
 PER_CLASS = 2500  # labelled rows of each class learned from
@@ -36,28 +36,49 @@ class Model(NamedTuple):
     offset: float
 
 
+SHAPES = (1, 2, 3, 5)  # words in an n-gram of shapes
+
+
 def indicators(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which hashed n-grams each row holds: bool (rows, 1 << BITS)."""
+    """Which hashed n-grams each row holds: bool (rows, 1 << BITS). A long row is read range by range."""
+    if len(at) != 2 or at[-1] <= 2 * SLICE_BYTES:
+        return _indicators(data, at, None)[0]
+    out, before = np.zeros((1, 1 << BITS), bool), None
+    for a, b in cuts(data, 0, int(at[-1])):
+        has, before = _indicators(data[a:b], np.array([0, b - a]), before)
+        out |= has
+    return out
+
+
+def _indicators(data: np.ndarray, at: np.ndarray, before: tuple[np.ndarray, np.uint64] | None) -> tuple[np.ndarray, tuple | None]:
+    """Also the last shapes and the last word's hash, which the next part of the same row takes as `before`."""
     out = np.zeros((len(at) - 1, 1 << BITS), bool)
     w = words(data, at)
     if not len(w.starts):
-        return out
+        return out, before
     row = np.repeat(np.arange(len(at) - 1), np.diff(w.ptr))
     count = lambda mask: (c := np.concatenate([[0], np.cumsum(mask)]))[w.ends] - c[w.starts]
     size, upper, digit, punct = w.ends - w.starts, count(_UPPER[data]), count(_DIGIT[data]), count(_PUNCT[data])
     repeats = np.zeros(len(size), bool)
     repeats[1:] = (w.hashes[1:] == w.hashes[:-1]) & (row[1:] == row[:-1])
+    if before is not None:
+        repeats[0] = w.hashes[0] == before[1]
     letters = size - digit - punct
     shape = (upper * 2 > letters) & (letters > 1) | (_UPPER[data[w.starts]]) << 1 | (digit > 0) << 2 | np.minimum(punct, 3) << 3 | (letters == 0) << 5 | repeats << 6
     u = np.uint64
     feats = [(w.hashes ^ u(1), row), (w.range_hash(np.maximum(w.ends - 2, w.starts), w.ends) ^ u(2), row)]
-    for k in (1, 2, 3, 5):
+    lead = 0
+    if before is not None:
+        lead, shape = len(before[0]), np.concatenate([before[0], shape])
+        row = np.zeros(len(shape), np.int64)
+    for k in SHAPES:
         h = window_hashes(shape.astype(u), k) ^ u(10 + k)
-        same = row[k - 1 :] == row[: len(row) - k + 1]
+        same = row[k - 1 :] == row[: max(0, len(row) - k + 1)]
+        same[: max(0, lead - k + 1)] = False  # seen in the part before
         feats.append((h[same], row[: len(row) - k + 1][same]))
     for h, r in feats:
         out[r, (mix(h) >> u(64 - BITS)).astype(np.int64)] = True
-    return out
+    return out, (shape[-(max(SHAPES) - 1) :], w.hashes[-1])
 
 
 def _features(texts: pa.Array):
@@ -67,9 +88,11 @@ def _features(texts: pa.Array):
 
 
 def margins(weights: np.ndarray, ratio: np.ndarray, bias: float, has: np.ndarray) -> np.ndarray:
-    x = has.astype(np.float32)
-    norm = np.sqrt(x @ (ratio * ratio))
-    return (x @ weights) / np.maximum(norm, 1e-6) + bias
+    """Of rows of indicators: the weights of what they hold, by the length of its ratios."""
+    spot = np.flatnonzero(has)
+    row, gram = spot >> BITS, spot & (1 << BITS) - 1
+    norm = np.sqrt(np.bincount(row, ratio[gram].astype(float) ** 2, len(has)))
+    return np.bincount(row, weights[gram], len(has)) / np.maximum(norm, 1e-6) + bias
 
 
 def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, width: int, epochs: int = 12) -> np.ndarray:
@@ -142,7 +165,8 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' other columns with score and predicted instead of text, a row for each row."""
+    """docs' other columns with score and predicted instead of text, a row for each row; columns of these names are replaced.
+    Null counts as empty; equal texts have equal scores; ids aren't read. A text takes a few times its bytes of a worker."""
 
     def run(texts: pa.Array) -> list[pa.Array]:
         s = scores(model, texts)

@@ -22,7 +22,10 @@ def tokenizer_path() -> str:
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode_media(media.encode_media(table(spark, sf_dir, "documents")), tensors=False)
+    """The tensors themselves (two bytes for each of the text) are not returned but their digest."""
+    out = media.decode_media(media.encode_media(table(spark, sf_dir, "documents")))
+    pixels = F.sha2(F.concat_ws("", F.transform("tensors", lambda t: F.sha2(t["rgb"], 256))), 256)
+    return out.withColumn("tensors_sha256", pixels).withColumn("n_images", F.size("tensors").cast("long")).drop("tensors")
 
 
 def op2_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,57 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT l.b, r.root FROM r JOIN links l ON l.a = r.doc_id WHERE r.root < l.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)
+"""
+
+_HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+#: Every combination of a labelled row's tokens is counted, and every combination of a page's tokens looked up.
+OP9_SQL = (
+    f"WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),"
+    + r"""
+k AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN list_distinct(
+    ['scheme=' || lower(split_part(url, '://', 1))]
+    || list_transform(list_reverse(string_split(host, '.')), lambda x, i: 'label' || (i - 1) || '=' || x)
+    || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path=' || x)
+    || list_transform(list_filter(string_split(regexp_extract(url, '(?s)\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query=' || split_part(x, '=', 1))
+  ) ELSE [] END AS tokens FROM p
+),
+marked AS (SELECT doc_id, max((toxic = 1 OR quality = 0)::INT) = 1 AS block FROM labels GROUP BY doc_id),
+lab AS (
+  SELECT row_number() OVER () AS id, tokens, block FROM k
+  JOIN marked ON doc_id = TRY_CAST(regexp_extract(url, '/([0-9]+)[^/0-9]*/?([?#].*)?$', 1) AS BIGINT) WHERE block IS NOT NULL
+),
+sub AS (SELECT id, block, list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS s FROM (SELECT *, unnest(generate_series(1, (1 << len(tokens)) - 1)) AS m FROM lab)),
+rules AS (
+  SELECT s, (count(*) FILTER (block))::DOUBLE / count(*) AS confidence FROM sub GROUP BY s
+  HAVING count(*) FILTER (block) >= greatest(1, ceil(0.005::DOUBLE * (SELECT count(*) FROM lab))) AND (count(*) FILTER (block))::DOUBLE / count(*) >= 0.6
+),
+mine AS (SELECT page_id, list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS s FROM (SELECT *, unnest(generate_series(1, (1 << len(tokens)) - 1)) AS m FROM k)),
+best AS (SELECT page_id, max(confidence) AS confidence FROM mine JOIN rules USING (s) GROUP BY page_id),
+f AS (
+  SELECT k.*, confidence, CASE
+    WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule
+  FROM k LEFT JOIN best USING (page_id)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR confidence IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, confidence FROM f
+"""
+)
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -98,4 +152,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_reply_trees": OP10_SQL}
+    return {"op2_divide_skip": OP2_SQL, "op9_url_rules": OP9_SQL, "op10_reply_trees": OP10_SQL}

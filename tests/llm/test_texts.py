@@ -52,7 +52,7 @@ def family(rng, n, size, edits):
 
 def test_shingles_are_words_in_order():
     data, at = W.text_bytes(pa.array(["a b c d", "a b d c", "A B C D", "abcd", "a bcd"]))
-    h, _ = W.shingles(W.words(data, at), 4)
+    h, _ = W.shingles(*W.hashed(data, at), 4)
     assert h[0] == h[2] and len(set(h.tolist())) == 4
 
 
@@ -75,6 +75,63 @@ def test_jaccard_edges(spark):
     assert [r["doc_id"] for r in overlap.keep_one(twice.where("doc_id is not null")).collect()] == [3]
 
 
+def test_one_row_stays(spark):
+    """Rows are decided on, not ids: shared and null ids, repeated rows, extra columns of clashing names."""
+    t, u = "a b c d e f g", "other words that have no copy"
+    rows = [(1, t, 1), (5, t, 2), (5, u, 3), (None, t, 4), (None, t, 5), (None, "alone here", 6), (None, None, 7), (None, None, 8), (5, "", 9), (5, "", 10), (9, "Same ROW", 11), (9, "Same ROW", 12), (8, "same row", 13), (7, "x y", 14), (7, "x y", 15)]
+    docs = spark.createDataFrame([(*r, r[2]) for r in rows], "doc_id long, text string, _k1 int, sig int")
+    kept = sorted(r["_k1"] for r in overlap.keep_one(docs).collect())
+    assert kept[:-1] == [1, 3, 6, 7, 8, 9, 10, 13] and kept[-1] in (14, 15)
+    assert overlap.keep_one(docs).columns == docs.columns
+    assert overlap.keep_one(docs.limit(0)).count() == 0
+
+
+def test_names_of_sets():
+    u, v = (np.unique(np.arange(i, i + 9, dtype=np.uint64)) for i in (1, 2))
+    (a, x), (b, y) = overlap._signature(u), overlap._signature(v)
+    assert a != b and x != y
+    other = overlap._signature(u, frozenset([a]))
+    assert other[0] != a and other[1] == x and overlap._signature(v, frozenset([a])) == (b, y)
+
+
+def test_repeated_fingerprints(monkeypatch):
+    """A range dealt from two chunks, counted at once and part by part."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 30))).astype(np.uint64) * np.uint64(2**58 // 7)) for _ in range(400)]
+    docs = [[int(x) for x in s] for s in sets]
+    seen = {}
+    for s in docs:
+        for x in s:
+            seen[x >> 30] = seen.get(x >> 30, 0) + 1
+    want = [sum(seen[x >> 30] > 1 for x in s) for s in docs]
+
+    class Here:
+        @staticmethod
+        def get():
+            return Here
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(overlap, "TaskContext", Here)
+    for tokens in (1 << 22, 50):
+        monkeypatch.setattr(overlap, "RANGE_TOKENS", tokens)
+        dealt = []
+        for chunk, part in ((0, sets[:150]), (1, sets[150:])):
+            monkeypatch.setattr(overlap, "_doc_sets", lambda *_, part=part: iter([(None, 0, part)]))
+            for b in overlap._dealt(4, 2, frozenset())(iter([])):
+                dealt += [{**r, "chunk": chunk} for r in pa.Table.from_batches([b]).to_pylist()]
+        got = [np.zeros(0, np.int64)] * 2
+        for chunk, n in ((0, 150), (1, 250)):
+            got[chunk] = np.zeros(n, np.int64)
+        schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("prints", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
+        for p in {r["part"] for r in dealt if r["part"] >= 0}:
+            for r in overlap._repeated(pa.Table.from_pylist([r for r in dealt if r["part"] == p], schema)).to_pylist():
+                got[r["chunk"]][overlap._places(r["docs"])] += overlap._unpacked(r["found"])
+        assert np.concatenate(got).tolist() == want
+
+
 def test_divide_skip():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -107,12 +164,62 @@ def test_decontamination(spark):
 
 def test_hamming_search_is_complete():
     rng = np.random.default_rng(6)
-    index = decontaminate.Index([(i, " ".join(f"v{x}" for x in rng.integers(0, 999, 20))) for i in range(60)])
+    index = decontaminate.Index(20, [W.window_hashes(rng.integers(0, 2**63, 20).astype(np.uint64), 5) for _ in range(60)])
     q = index.prints[rng.integers(0, 60, 200)] ^ np.array([sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 30)), replace=False)) for _ in range(200)], np.uint64)
     want = {(a, b) for a in range(200) for b in range(60) if int(q[a] ^ index.prints[b]).bit_count() <= decontaminate.RADIUS}
     assert set(zip(*(x.tolist() for x in index.search(q)), strict=True)) == want
 
 
+@pytest.mark.parametrize("n", [14, 20, 59, 200])
+def test_fingerprints_miss_few(n):
+    """Of windows just similar enough, how many lie beyond the radius."""
+    rng, seen, far = np.random.default_rng(n), 0, 0
+    while seen < 1500:
+        words = rng.integers(0, 2**63, n).astype(np.uint64)
+        other = words.copy()
+        for _ in range(max(1, n // 45)):
+            other[rng.integers(0, n)] = rng.integers(0, 2**63)
+        cut = int(rng.integers(0, max(1, n // 20) + 1))
+        other = np.concatenate([rng.integers(0, 2**63, cut).astype(np.uint64), other[: n - cut]])
+        a, b = W.window_hashes(words, 5), W.window_hashes(other, 5)
+        if 0.8 <= decontaminate.similarity(decontaminate.Counter(a.tolist()), decontaminate.Counter(b.tolist())) < 0.9:
+            seen += 1
+            far += (decontaminate.simhash(a) ^ decontaminate.simhash(b)).bit_count() > decontaminate.RADIUS
+        elif n < 20:
+            seen += 1  # too short for a change that leaves so much
+    assert far / seen < 0.02
+
+
+def test_stretches_cover_all_windows():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        words, reach = int(rng.integers(1, 90_000)), int(rng.integers(1, 3000))
+        places = np.unique(rng.integers(0, words, int(rng.integers(1, 12))))
+        got = list(decontaminate._stretches(places, words, reach))
+        if words < reach:
+            assert got == [(0, words)]
+            continue
+        starts = np.concatenate([np.arange(a, b) for a, b in got])
+        want = np.unique(np.concatenate([np.arange(max(0, p - reach + 1), p + 1) for p in places]))
+        assert len(starts) == len(set(starts.tolist())) and set(want.tolist()) <= set(starts.tolist()) and len(starts) == len(want)
+
+
+def test_one_row_is_removed(spark):
+    """Rows are decided on, not ids; long and repeated passages, short items, clashing names, empty tables."""
+    rng = np.random.default_rng(15)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 5000, n))
+    items = [text(20), text(31), "two words"]
+    rows = [(1, f"{text(40)} {items[0]} {text(9)}"), (1, text(60)), (None, f"{items[1]} {text(20_000)} {items[1]}"), (None, text(50)), (None, None), (3, f"x {items[2]} y"), (3, f"x {items[2]} y"), (4, "")]
+    docs = spark.createDataFrame([(*r, i, "w") for i, r in enumerate(rows)], "doc_id long, text string, row int, words string")
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, bench)
+    assert sorted(r["row"] for r in left.collect()) == [1, 3, 4, 7] and left.columns == docs.columns
+    hits = sorted((r["item_id"], r["start_word"], r["similarity"]) for r in decontaminate.contamination(docs, bench).collect())
+    assert hits == [(0, 40, 1.0), (1, 0, 1.0), (2, 1, 1.0), (2, 1, 1.0)]
+    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
 def test_packing(spark):
     path = queries.tokenizer_path()
     texts = [*ODD, "Hello, world. It's <|endoftext|> A.B <|ENDOFTEXT|>", "mot. " * 900] + [f"word{i} and more" * (i % 7) for i in range(60)]
@@ -177,7 +284,7 @@ def test_media(spark):
         want = raw + b"\xff" * (576 if not raw else -len(raw) % 576)
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
-        assert len(r["rgb"]) == r["height"] * r["width"] * 3
+        assert all(len(x["rgb"]) == x["height"] * x["width"] * 3 for x in r["tensors"]) and len(r["tensors"]) == 1
     assert rows[0]["media_sha256"] == rows[1]["media_sha256"]
     bad = spark.createDataFrame([(1, 5, b"junk"), (2, 0, None)], "doc_id long, n_bytes long, media binary")
     assert [r["feature"] for r in media.decode_media(bad).collect()] == ["invalid"] * 2
