@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .patterns import anchored, glob_b, glob_p
 
 
 def tokenize_p(text: Column) -> Column:
@@ -29,6 +30,26 @@ def bag_p(text: Column) -> Column:
     return F.concat(ids, F.regexp_extract_all(F.array_join(several, " "), F.lit("[a-z]+"), F.lit(0)))
 
 
+def counts_p(text: Column, terms: list[str]) -> tuple[Column, list[Column]]:
+    """Of the tokens of tokenize_p, without making them: how many there are, and how many are each term.
+
+    An identifier is what a run of [a-z0-9_] has from its first letter on. Letter runs count too where an identifier has several,
+    so a term counts as an identifier, and as a run, less the runs that are alone in theirs.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    count = lambda p: F.regexp_count(low, F.lit(p))
+    whole = lambda p: rf"(?<![a-z0-9_])[0-9_]*{p}(?![a-z0-9_])"
+    several = F.when(low.rlike("[a-z][0-9_]+[a-z]"), count("[a-z]+") - count(whole("[a-z]+[0-9_]*"))).otherwise(0)
+
+    def occurrences(t: str) -> Column:
+        n = count(whole(t))
+        if re.fullmatch("[a-z]+", t):
+            n = n + count(f"(?<![a-z]){t}(?![a-z])") - count(whole(f"{t}[0-9_]*"))
+        return F.when(low.contains(t), n).otherwise(0)
+
+    return count("[a-z][a-z0-9_]*") + several, [occurrences(t) for t in terms]
+
+
 def stem(w: Column) -> Column:
     """Profile B: the first ending that fits and leaves three characters."""
     cases = reduce(lambda c, r: (F if c is None else c).when(F.endswith(w, F.lit(r[0])) & (F.length(w) - len(r[0]) + len(r[1]) >= 3), F.concat(F.substring(w, F.lit(1), F.length(w) - len(r[0])), F.lit(r[1]))), fixed.STEM_RULES, None)
@@ -116,50 +137,29 @@ def ignored_p(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), dirs) | basename(path).isin(*fixed.IGNORE_FILES) | ext.isin(*fixed.BINARY_P)
 
 
-def glob_regex_p(pattern: str) -> str:
-    """fnmatch: * and ? cross slashes."""
-    return r"(?s)\A" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + r"\z"
-
-
-def glob_regex_b(pattern: str) -> str:
-    """Path globs: * and ? stop at slashes, **/ stands for any directories, {a,b} for either."""
-    out, i, deep = "", 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-            continue
-        if pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-            continue
-        if c == "{":
-            out, deep = out + "(?:", deep + 1
-        elif c == "}" and deep:
-            out, deep = out + ")", deep - 1
-        elif c == "," and deep:
-            out += "|"
-        else:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
-        i += 1
-    return r"(?s)\A" + out + r"\z"
-
-
 def matches_p(path: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (path.rlike(glob_regex_p(p)) | basename(path).rlike(glob_regex_p(p)) for p in patterns), F.lit(False))
+    """Whether one of fnmatch's patterns fits the path or its last part."""
+    fit = lambda c, p: c.rlike(anchored(glob_p(p)))
+    return reduce(lambda a, b: a | b, (fit(path, p) | fit(basename(path), p) for p in patterns), F.lit(False))
 
 
 def matches_b(path: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (path.rlike(glob_regex_b(p)) for p in patterns), F.lit(False))
+    """Whether one of the path globs fits the path."""
+    return reduce(lambda a, b: a | b, (path.rlike(anchored(glob_b(p))) for p in patterns), F.lit(False))
+
+
+#: Every kind of line end, as a regex.
+LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+
+
+def count_lines_p(content: Column) -> Column:
+    """Lines of every kind of end; an empty last line doesn't count."""
+    return F.when(content == "", 0).otherwise(F.size(F.split(F.regexp_replace(content, f"(?:{LINE_ENDS})\\z", ""), LINE_ENDS, -1)))
 
 
 def within_limits(content: Column, profile: str = "P") -> Column:
     """Not over 1 MiB nor 20,000 lines. P counts every kind of line end and no empty last line; B counts line feeds."""
-    if profile == "P":
-        ends = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
-        lines = F.size(F.split(F.regexp_replace(content, f"(?:{ends})\\z", ""), ends, -1))
-        lines = F.when(content == "", 0).otherwise(lines)
-    else:
-        lines = F.size(F.split(content, "\n", -1))
+    lines = count_lines_p(content) if profile == "P" else F.size(F.split(content, "\n", -1))
     return (F.octet_length(content) <= fixed.MAX_BYTES) & (lines <= fixed.MAX_FILE_LINES)
 
 

@@ -1,4 +1,9 @@
-"""Scores of chunks for a query. Query terms are literals, so each chunk is scored in its own row; corpus figures are one-row aggregates."""
+"""Scores of chunks for a query, in one pass over their contents.
+
+What the scores need of a chunk's content are a few counts, so the contents are read once, into a stored table of the chunks'
+other columns and these counts. Corpus figures, maxima and minima are one-row aggregates of that table, which go into the plan
+as numbers; the rows come back without content, for the chosen ones to be joined with theirs (select.packed).
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import bag_p, important_terms, query_tokens_b, query_tokens_p, stem_word, tokenize_b
+from skein.functions.text import bag_p, counts_p, important_terms, query_tokens_b, query_tokens_p, stem_word, tokenize_b
+
+from .durable import written
 
 K1, B = 1.5, 0.75
 
@@ -16,75 +23,110 @@ def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
-def _occurrences(tokens: Column, term: str) -> Column:
-    return F.size(tokens) - F.size(F.array_remove(tokens, term))
+def _others(chunks: DataFrame) -> list[str]:
+    return [c for c in chunks.columns if c != "content"]
 
 
 def doc_frequencies(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.explode(F.array_distinct(bag_p(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """term, df: in how many chunks each term is."""
+    terms = chunks.select(F.explode(F.array_distinct(bag_p(F.col("content")))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.size(bag_p(F.col("content"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
+    """n_docs and avgdl, the mean number of tokens."""
+    n, _ = counts_p(F.col("content"), [])
+    return chunks.select(n.alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
 
 
-def bm25(chunks: DataFrame, query: str) -> DataFrame:
-    """chunks with bm25 (profile P): one aggregate for the corpus figures, no shuffle of chunks."""
+def counted(chunks: DataFrame, query: str) -> DataFrame:
+    """The stored table of chunks without content, with _n (tokens), _f0, _f1, ... (occurrences of each query term), _path and _name
+    (how many query terms are in those). Null counts as empty."""
     terms = sorted(set(query_tokens_p(query)))
-    # bound in a lambda, the bag is made once for a row; as a column it would be made again for each term
-    counts = F.transform(F.array(bag_p(F.col("content"))), lambda b: F.struct(F.size(b).alias("n"), *(_occurrences(b, t).alias(f"f{i}") for i, t in enumerate(terms))))
-    toks = chunks.withColumn("_c", counts[0])
-    toks = toks.select("*", F.col("_c.n").alias("_n"), *(F.col(f"_c.f{i}").alias(f"_f{i}") for i in range(len(terms)))).drop("_c")
-    stats = toks.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))))
+    q = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
+    n, f = counts_p(F.col("content"), terms)
+    inside = lambda c: F.size(F.array_intersect(bag_p(F.coalesce(F.col(c), F.lit(""))), q))
+    named = inside("name") if "name" in chunks.columns else F.lit(0)
+    return written(chunks.select(*_others(chunks), n.alias("_n"), *(x.alias(f"_f{i}") for i, x in enumerate(f)), inside("path").alias("_path"), named.alias("_name")))
+
+
+def _bm25(table: DataFrame) -> Column:
+    """The score from the columns of a counted table; its corpus figures are computed here."""
+    terms = [c for c in table.columns if c.startswith("_f")]
+    docs, mean, *df = table.agg(F.count("*"), F.avg("_n"), *(F.count(F.when(F.col(c) > 0, 1)) for c in terms)).first()
 
-    def part(i: int) -> Column:
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.log((F.col("_docs") - d + 0.5) / (d + 0.5) + 1)
-        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_avg")))).otherwise(F.lit(0.0))
+    def part(c: str, d: int) -> Column:
+        idf = F.log(F.lit((docs - d + 0.5) / (d + 0.5) + 1))
+        f = F.col(c)
+        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.lit(float(mean))))).otherwise(F.lit(0.0))
+
+    return _sum([part(c, d) for c, d in zip(terms, df, strict=True)]) if docs and mean else F.lit(0.0)
+
+
+def bm25(chunks: DataFrame, query: str) -> DataFrame:
+    """chunks without content, with bm25 (profile P)."""
+    table = counted(chunks, query)
+    return table.select(*_others(chunks), _bm25(table).alias("bm25"))
 
-    scored = toks.crossJoin(F.broadcast(stats)).withColumn("bm25", _sum([part(i) for i in range(len(terms))]))
-    return scored.select(*chunks.columns, "bm25")
+
+def by_largest(rows: DataFrame, raw: Column, out: str) -> DataFrame:
+    """rows with `out`: raw by its largest value, if that is over 0."""
+    most = rows.agg(F.max(raw)).first()[0]
+    return rows.withColumn(out, raw / F.lit(float(most)) if most and most > 0 else raw)
 
 
 def keyword_rank_p(chunks: DataFrame, query: str) -> DataFrame:
-    """bm25 + 2 for each query term in the path + 3 for each in the name, by the largest."""
-    q = F.array(*(F.lit(t) for t in sorted(set(query_tokens_p(query))))).cast("array<string>")
-    raw = F.col("bm25") + 2.0 * F.size(F.array_intersect(bag_p(F.col("path")), q)) + 3.0 * F.size(F.array_intersect(bag_p(F.coalesce("name", F.lit(""))), q))
-    s = bm25(chunks, query).withColumn("_raw", raw)
-    top = s.agg(F.max("_raw").alias("_max"))
-    return s.crossJoin(F.broadcast(top)).withColumn("score", F.when(F.col("_max") > 0, F.col("_raw") / F.col("_max")).otherwise(F.col("_raw"))).select(*chunks.columns, "score")
+    """chunks without content, with score: bm25 + 2 for each query term in the path + 3 for each in the name, by the largest."""
+    table = counted(chunks, query)
+    raw = _bm25(table) + 2.0 * F.col("_path") + 3.0 * F.col("_name")
+    return by_largest(table, raw, "score").select(*_others(chunks), "score")
 
 
 def keyword_rank_b(chunks: DataFrame, query: str, boost_stemmed: bool = False) -> DataFrame:
-    """Density score (profile B): substring matches either way, exact bonuses, path penalties.
+    """chunks without content, stored, with score: density score (profile B) of substring matches either way, exact bonuses, path penalties.
 
     Important terms count fivefold where they equal a stemmed term; with boost_stemmed they are stemmed before."""
     terms, strong = query_tokens_b(query), important_terms(query)
     if boost_stemmed:
         strong = strong | {stem_word(t) for t in strong}
     if not terms:
-        return chunks.withColumn("score", F.lit(0.0))
-    for c, src in (("_c", "content"), ("_p", "path"), ("_n", "name")):
-        chunks = chunks.withColumn(c, tokenize_b(F.coalesce(F.col(src), F.lit("")), stems=True))
-    like = lambda c, t: F.filter(c, lambda x: x.contains(t) | F.lit(t).contains(x))
-    density = F.least(F.lit(1.0), F.lit(200.0) / F.greatest(F.size("_c"), F.lit(1)))
+        return chunks.select(*_others(chunks)).withColumn("score", F.lit(0.0))
+    distinct = sorted(set(terms))
+
+    def matches(src: str) -> Column:
+        """(tokens, then for each term how many tokens match and how many equal it)."""
+        tokens = tokenize_b(F.coalesce(F.col(src), F.lit("")), stems=True)
+
+        def like(bag: Column, t: str) -> Column:
+            return F.size(F.filter(bag, lambda x: x.contains(t) | F.lit(t).contains(x)))
+
+        def count(bag: Column) -> Column:
+            return F.struct(F.size(bag).alias("n"), *(like(bag, t).alias(f"m{i}") for i, t in enumerate(distinct)), *(F.array_contains(bag, t).alias(f"e{i}") for i, t in enumerate(distinct)))
+
+        # bound in a lambda, the tokens are made once for a row
+        return F.transform(F.array(tokens), count)[0]
+
+    rows = chunks.withColumns({"_c": matches("content"), "_p": matches("path"), "_n": matches("name")})
+    density = F.least(F.lit(1.0), F.lit(200.0) / F.greatest(F.col("_c.n"), F.lit(1)))
 
     def part(t: str) -> Column:
-        m = F.size(like("_c", t))
-        s = F.when(m > 0, (1 + F.log(m.cast("double"))) * (1 + density)).otherwise(F.lit(0.0)) + 2.0 * F.size(like("_p", t)) + 3.0 * F.size(like("_n", t))
+        i = distinct.index(t)
+        m = F.col(f"_c.m{i}")
+        s = F.when(m > 0, (1 + F.log(m.cast("double"))) * (1 + density)).otherwise(F.lit(0.0)) + 2.0 * F.col(f"_p.m{i}") + 3.0 * F.col(f"_n.m{i}")
         for c, bonus in (("_c", 2.0), ("_p", 10.0), ("_n", 20.0)):
-            s = s + F.when(F.array_contains(c, t), F.lit(bonus)).otherwise(F.lit(0.0))
+            s = s + F.when(F.col(f"{c}.e{i}"), F.lit(bonus)).otherwise(F.lit(0.0))
         return s * (5.0 if t in strong else 1.0)
 
     score = _sum([part(t) for t in terms])
     if len(terms) > 1:
-        every = reduce(lambda a, b: a & b, ((F.size(like("_c", t)) + F.size(like("_p", t)) + F.size(like("_n", t)) > 0) for t in terms))
+        every = reduce(lambda a, b: a & b, (F.col(f"_c.m{i}") + F.col(f"_p.m{i}") + F.col(f"_n.m{i}") > 0 for i in range(len(distinct))))
         score = score * F.when(every, F.lit(1.5)).otherwise(F.lit(1.0))
     path = F.col("path")
-    score = score * F.when(path.rlike(r"\.test\.|\.spec\.|__fixtures__|__tests__"), 0.5).otherwise(1.0) * F.when(path.rlike("/codemods?/"), 0.3).otherwise(1.0)
+    score = score * F.when(path.rlike(r"\.test\.|\.spec\.|__fixtures__|__tests__"), 0.5).otherwise(1.0)
+    score = score * F.when(path.rlike("/codemods?/"), 0.3).otherwise(1.0)
     if not any("prepar" in t for t in terms):
         score = score * F.when(path.contains("prepare"), 0.7).otherwise(1.0)
-    return chunks.withColumn("score", score).drop("_c", "_p", "_n")
+    return written(rows.select(*_others(chunks), score.alias("score")))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -102,10 +144,11 @@ def embedding_rank(chunks: DataFrame, vectors: DataFrame, query_vector: list[flo
 
 
 def minmax(df: DataFrame, col: str, out: str) -> DataFrame:
-    """To 0..1 over all rows; 0.5 if all are equal."""
-    ends = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(span == 0, F.lit(0.5)).otherwise((F.col(col) - F.col("_lo")) / F.nullif(span, F.lit(0.0)))).drop("_lo", "_hi")
+    """To 0..1 over all rows; 0.5 if all are equal. Two passes over df, so it should be narrow and stored."""
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    if low is None or low == high:
+        return df.withColumn(out, F.lit(0.5))
+    return df.withColumn(out, (F.col(col) - F.lit(float(low))) / F.lit(float(high) - float(low)))
 
 
 def combine_scores(importance: DataFrame, centrality: DataFrame, weight: float = 0.6) -> DataFrame:
@@ -115,24 +158,28 @@ def combine_scores(importance: DataFrame, centrality: DataFrame, weight: float =
 
 
 def hybrid_p(scored: DataFrame, embeddings: bool) -> DataFrame:
-    """scored(path, kw, emb, importance, centrality, ...): the profile's blend, documents at 0.6, by the largest."""
+    """scored(path, kw, emb, importance, centrality, ...): the profile's blend, documents at 0.6, by the largest; stored."""
     imp = 0.7 * F.col("importance") + 0.3 * F.col("centrality")
     raw = 0.4 * F.col("kw") + 0.4 * F.col("emb") + 0.2 * imp if embeddings else 0.8 * F.col("kw") + 0.2 * imp
     raw = raw * F.when(F.col("path").rlike(r"\.(md|mdx|txt|rst)$"), 0.6).otherwise(1.0)
-    s = scored.withColumn("_raw", raw)
-    top = s.agg(F.max("_raw").alias("_max"))
-    return s.crossJoin(F.broadcast(top)).withColumn("score", F.when(F.col("_max") > 0, F.col("_raw") / F.col("_max")).otherwise(F.col("_raw"))).drop("_raw", "_max")
+    rows = written(scored.withColumn("_raw", raw))
+    return by_largest(rows, F.col("_raw"), "score").drop("_raw")
 
 
 def hybrid_b(scored: DataFrame) -> DataFrame:
     """scored(path, kw, emb, combined, language): 0.4 of the keyword score's min-max, 0.4 cosine, 0.2 importance (Markdown at 0.6)."""
     imp = F.col("combined") * F.when(F.col("language").isin("markdown", "mdx"), 0.6).otherwise(1.0)
-    return minmax(scored, "kw", "_kw").withColumn("score", 0.4 * F.col("_kw") + 0.4 * F.col("emb") + 0.2 * imp).drop("_kw")
+    return minmax(written(scored), "kw", "_kw").withColumn("score", 0.4 * F.col("_kw") + 0.4 * F.col("emb") + 0.2 * imp).drop("_kw")
+
+
+def top(scored: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows with the highest scores, ties by the key."""
+    return scored.orderBy(F.desc("score"), key).limit(n)
 
 
-def rerank(scored: DataFrame, judged: DataFrame, key: str, top: int = 50, own: float = 0.4) -> DataFrame:
-    """The `top` rows by score blended with judged(key, relevance) (missing: 0.5); the others keep their score. Adds reranked."""
-    first = scored.orderBy(F.desc("score"), key).limit(top).select(key, F.lit(True).alias("reranked"))
-    j = scored.join(F.broadcast(first), key, "left").join(judged, key, "left").withColumn("reranked", F.coalesce("reranked", F.lit(False)))
+def rerank(scored: DataFrame, judged: DataFrame, key: str, n: int = 50, own: float = 0.4) -> DataFrame:
+    """The n rows by score blended with judged(key, relevance) (missing: 0.5); the others keep their score. Adds reranked."""
+    first = top(scored, key, n).select(key, F.lit(True).alias("reranked")).join(judged, key, "left")
+    j = scored.join(F.broadcast(first), key, "left").withColumn("reranked", F.coalesce("reranked", F.lit(False)))
     blend = own * F.col("score") + (1 - own) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("relevance", F.lit(0.5))))
     return j.withColumn("score", F.when(F.col("reranked"), blend).otherwise(F.col("score"))).drop("relevance")

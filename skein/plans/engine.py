@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from skein.sources import github
 
 # Fixed value: the text for a tree without files that fit.
 NO_FILES = "No files found matching the criteria."
+# Fixed values by profile: chunks that are reranked, and the share of their own score in the new one.
+RERANKED, OWN = {"P": 50, "B": 20}, {"P": 0.4, "B": 0.3}
 
 
 class ContextEngine:
@@ -22,20 +25,21 @@ class ContextEngine:
 
     tokens: a text column's token count. cache_dir: folder of the chunk cache. embed: DataFrame(chunk_id, path, content, ...) to
     (chunk_id, vector), see embed.vectors; embed_query: a text's vector, empty if there is none; imagine: a made-up answer to a query,
-    embedded with it (P) or in its place (B). judge: (chunks, query) to (chunk_id, relevance) for reranking.
+    embedded with it (P) or in its place (B). judge: (chunks, query) to (chunk_id, relevance), of the best RERANKED chunks.
     """
 
     def __init__(self, spark: SparkSession, profile: str = "P", budget: int | str = 50_000, strict: bool = False, fast: bool = False, follow_imports: bool = True, import_depth: int = 1, embed: Callable | None = None, embed_query: Callable | None = None, imagine: Callable | None = None, judge: Callable | None = None, tokens: Callable[[Column], Column] = T.token_estimate, cache_dir: str | None = None, clones: str = "~/.cache/skein"):
         self.spark, self.profile, self.budget, self.strict, self.fast = spark, profile, T.parse_budget(budget), strict, fast
         self.follow, self.depth, self.tokens, self.cache_dir, self.clones = follow_imports, import_depth, tokens, cache_dir, os.path.expanduser(clones)
         self.embed, self.embed_query, self.imagine, self.judge = embed, embed_query, imagine, judge
+        self.stats: dict | None = None  # of the last build: files scanned and included, chunks, tokens, budget
 
     def scan(self, path: str, include: list[str] = (), exclude: list[str] = (), force_large: bool = False) -> DataFrame:
         """Files of a folder, or of a GitHub repository's shallow clone."""
         from skein.sources.codebase import Codebase
 
         if github.is_github(path):
-            path = github.clone(github.parse(path), self.clones)
+            path = github.clone(github.parse(path), self.clones, profile=self.profile)
         self.spark.dataSource.register(Codebase)
         return self.spark.read.format("codebase").options(path=path, profile=self.profile, include=",".join(include), exclude=",".join(exclude), forceLarge=str(force_large).lower()).load()
 
@@ -45,13 +49,19 @@ class ContextEngine:
         if self.profile == "P":
             edges = graph.resolve_p(graph.extract_imports_p(files), files, self.strict)
             return edges, graph.centrality_p(nodes, edges)
-        edges = graph.resolve_b(graph.extract_imports_b(files), files)
+        edges = graph.resolve_b(graph.extract_imports_b(files), files, self.strict)
         return edges, graph.pagerank_b(nodes, edges)
 
     def chunks(self, files: DataFrame) -> DataFrame:
         """Chunks with tokens and chunk_id; files that are in the cache aren't chunked again."""
         make = (lambda f: chunk.chunk_p(f, self.strict)) if self.profile == "P" else chunk.chunk_b
-        made = cache.refresh(files, make, self.cache_dir) if self.cache_dir else make(files)
+        if self.cache_dir:
+            stored = cache.ChunkCache(self.spark, self.cache_dir)
+            stored.prune(time.time())
+            seconds = files.withColumn("mtime", F.col("mtime_ms") / 1000) if "mtime_ms" in files.columns else files
+            made = stored.refresh(seconds, make, time.time(), self.profile)
+        else:
+            made = make(files)
         return made.withColumn("tokens", self.tokens(F.col("content"))).withColumn("chunk_id", F.concat_ws(":", "path", "start_line"))
 
     def _query_vector(self, query: str) -> list[float]:
@@ -80,12 +90,15 @@ class ContextEngine:
             out = rank.hybrid_p(ranked.withColumn("importance", T.importance_p(F.col("path"))), embedded)
         else:
             out = rank.hybrid_b(ranked.withColumn("combined", 0.6 * T.importance_b(F.col("path")) + 0.4 * (F.lit(0.5) if self.strict else F.col("centrality"))))
-        return rank.rerank(out, self.judge(out, query), "chunk_id") if self.judge else out
+        if not self.judge:
+            return out
+        best = rank.top(out, "chunk_id", RERANKED[self.profile])
+        judged = self.judge(chunks.join(F.broadcast(best.select("chunk_id")), "chunk_id", "left_semi"), query)
+        return rank.rerank(out, judged, "chunk_id", RERANKED[self.profile], OWN[self.profile])
 
     def select(self, files: DataFrame, query: str) -> DataFrame:
-        """Files and edges are read several times, so they are kept."""
-        files = files.persist()
-        chunks = self.chunks(files)
+        """Chunks are read several times, so they are stored."""
+        chunks = written(self.chunks(files))
         edges = written(self.graph(files)[0]) if self.profile == "P" and self.follow else None
 
         def choose(rows: DataFrame) -> DataFrame:
@@ -98,13 +111,15 @@ class ContextEngine:
         return select.packed(self.score(files, query, chunks), chunks, ["path", "start_line"], choose)
 
     def build(self, path: str, query: str, fmt: str = "markdown", **scan) -> str:
-        files = self.scan(path, **scan)
+        files = written(self.scan(path, **scan))
         if self.profile == "B" and files.isEmpty():
             return NO_FILES
         out = self.select(files, query)
         if self.profile == "P" and github.is_github(path):
             repo = github.parse(path)
             out = out.withColumn("path", F.concat(F.lit(f"{repo.owner}/{repo.name}/"), "path"))
+        out = written(out)
+        self.stats = select.stats(files, out, self.budget).first().asDict()
         text = render.markdown_b(out) if self.profile == "B" else render.xml_p(out) if fmt == "xml" else render.markdown_p(out)
         return text.first()[0]
 

@@ -1,54 +1,55 @@
-"""All queries over the given tables, by name, with the SQL of those that SQL can express."""
+"""All queries over the given tables, by name, each with the SQL that computes the same from the same tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import fixed
 from skein.functions import text as T
-from skein.operators import cache, chunk, graph, rank, render, select
+from skein.operators import cache, chunk, durable, graph, rank, render, select
+from skein.plans import inputs
+from skein.plans.inputs import CODE_SQL, COSINE_SQL, DOCS_SQL, EDGES_SQL, IMPORTS_SQL, PATHS_SQL, sql_list
 
 QUERY_P = "token password the_and example"
 QUERY_B = "worker_tokens password .example losers disgusting"
 BUDGET = 4_000
 
-# Paths that the path operators are tried on.
-PATHS = """main.py src/index.ts tests/test_a.py a/b/c/d/e/f.py config.yaml pkg/__init__.py package.json src/utils/x.py README.md a/b.test.ts
-node_modules/x/y.js .git/HEAD lib/app.min.js img/logo.PNG Dockerfile docker/Dockerfile uv.lock docs/guide.rst src/a.d.ts core/mod.rs vendor/x.go
-deep/a/b/c/d/e/f/g.py web/app.tsx api/Server.java .env/x.txt x noext.d/y""".split()
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
+        return f
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/documents.parquet")
-    return t.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"), F.lit("file").alias("chunk_type"), F.col("source").alias("name"))
+    return add
 
 
-def _paths(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*(F.lit(p) for p in PATHS))).alias("path"))
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def _by_source(spark: SparkSession, d: str) -> DataFrame:
-    """A file for each source: its documents' texts one after another."""
-    t = spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
-    return t.select(F.col("source").alias("path"), F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("content"), F.lit(None).cast("string").alias("language"))
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
 
 
-def _supply_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as nodes; an edge from each line's supplier to that of the order's next line."""
-    a = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey")
-    b = a.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_suppkey").alias("dst"))
-    e = a.join(b, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).select(F.col("l_suppkey").alias("src"), "dst")
-    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("path")), e
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    """These columns, the last to six digits."""
+    return df.select(*cols[:-1], F.round(cols[-1], 6).alias(cols[-1]))
 
 
-DOCS_SQL = "docs AS (SELECT doc_id, source || '/' || doc_id || '.' || lang AS path, text AS content, lang AS language, source AS name, len(string_split(text, chr(10))) AS end_line FROM documents)"
-PATHS_SQL = "paths AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in PATHS) + "]) AS path)"
-EDGES_SQL = "edges AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+# Tokens
 
 
 def _tok_p_sql(x: str) -> str:
-    return f"flatten(list_transform(regexp_extract_all(lower({x}), '[a-z][a-z0-9_]*'), lambda t: CASE WHEN len(regexp_extract_all(t, '[a-z]+')) > 1 THEN list_concat([t], regexp_extract_all(t, '[a-z]+')) ELSE [t] END))"
+    return f"""flatten(list_transform(regexp_extract_all(lower({x}), '[a-z][a-z0-9_]*'), lambda t:
+      CASE WHEN len(regexp_extract_all(t, '[a-z]+')) > 1 THEN list_concat([t], regexp_extract_all(t, '[a-z]+')) ELSE [t] END))"""
 
 
 def _stem_sql(w: str) -> str:
@@ -57,411 +58,653 @@ def _stem_sql(w: str) -> str:
 
 
 def _tok_b_sql(x: str, stop: bool = False, stems: bool = True) -> str:
-    out = f"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[_-]', ' ', 'g')), '[\\s\\W]+'), lambda t: length(t) > 1)"
+    spaced = f"regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[_-]', ' ', 'g')"
+    out = f"list_filter(regexp_split_to_array(lower({spaced}), '[\\s\\W]+'), lambda t: length(t) > 1)"
     if stop:
-        out = f"list_filter({out}, lambda t: NOT list_contains([{', '.join(repr(s) for s in fixed.STOPWORDS)}], t))"
+        out = f"list_filter({out}, lambda t: NOT list_contains({sql_list(fixed.STOPWORDS)}, t))"
     return f"list_transform({out}, lambda w: {_stem_sql('w')})" if stems else out
 
 
-def _bm25_sql() -> str:
-    terms = sorted(set(T.query_tokens_p(QUERY_P)))
-    f = ", ".join(f"len(list_filter(toks, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(terms))
-    d = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(terms)))
-    s = " + ".join(f"CASE WHEN f{i} > 0 THEN ln((n_docs - d{i} + 0.5) / (d{i} + 0.5) + 1) * f{i} * 2.5 / (f{i} + 1.5 * (0.25 + 0.75 * n / avgdl)) ELSE 0 END" for i in range(len(terms)))
-    return f"{DOCS_SQL}, tk AS (SELECT *, {_tok_p_sql('content')} AS toks FROM docs), tf AS (SELECT *, len(toks) AS n, {f} FROM tk), st AS (SELECT count(*)::DOUBLE AS n_docs, avg(n) AS avgdl, {d} FROM tf), bm AS (SELECT tf.*, {s} AS bm25 FROM tf, st)"
+def _digest(tokens: Column) -> list[Column]:
+    return [F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("digest")]
 
 
-def _keyword_p_sql() -> str:
-    q = "[" + ", ".join(f"'{t}'" for t in sorted(set(T.query_tokens_p(QUERY_P)))) + "]"
-    inter = lambda x: f"len(list_intersect(list_distinct({_tok_p_sql(x)}), {q}))"
-    return f"{_bm25_sql()}, raw AS (SELECT *, bm25 + 2 * {inter('path')} + 3 * {inter('name')} AS r FROM bm), kp AS (SELECT *, CASE WHEN max(r) OVER () > 0 THEN r / max(r) OVER () ELSE r END AS score FROM raw)"
+def _digest_sql(tokens: str) -> str:
+    return f"SELECT doc_id, len({tokens})::BIGINT AS n_tokens, md5(array_to_string({tokens}, ' ')) AS digest FROM documents"
 
 
-def _keyword_b_sql() -> str:
-    terms = T.query_tokens_b(QUERY_B)
-    strong = T.important_terms(QUERY_B)
-    m = lambda c, t: f"len(list_filter({c}, lambda x: contains(x, '{t}') OR contains('{t}', x)))"
-    dens = "(1 + least(1.0::DOUBLE, 200.0::DOUBLE / greatest(len(c), 1)))"
-    part = lambda t: f"{5 if t in strong else 1} * (CASE WHEN {m('c', t)} > 0 THEN (1 + ln({m('c', t)}::DOUBLE)) * {dens} ELSE 0 END + 2 * {m('p', t)} + 3 * {m('n', t)} + CASE WHEN list_contains(c, '{t}') THEN 2 ELSE 0 END + CASE WHEN list_contains(p, '{t}') THEN 10 ELSE 0 END + CASE WHEN list_contains(n, '{t}') THEN 20 ELSE 0 END)"
-    every = " AND ".join(f"({m('c', t)} + {m('p', t)} + {m('n', t)} > 0)" for t in terms)
-    return f"{DOCS_SQL}, tb AS (SELECT *, {_tok_b_sql('content')} AS c, {_tok_b_sql('path')} AS p, {_tok_b_sql('name')} AS n FROM docs), kb AS (SELECT *, ({' + '.join(map(part, terms))}) * CASE WHEN {every} THEN 1.5 ELSE 1 END AS score FROM tb)"
-
-
-def _importance_p_sql() -> str:
-    lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-    return f"""{PATHS_SQL}, ip AS (SELECT path, string_split(lower(path), '/') AS parts, list_extract(string_split(lower(path), '/'), -1) AS name FROM paths),
-    imp AS (SELECT path, greatest(0, least(1, 0.5 + CASE WHEN list_contains({lst(fixed.ENTRY_P)}, name) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(name, '^(main|index|app)') THEN 0.15 ELSE 0 END
-      + CASE WHEN name = '__init__.py' AND len(parts) <= 3 THEN 0.1 ELSE 0 END + CASE WHEN list_has_any(parts, {lst(fixed.HIGH_DIRS_P)}) THEN 0.1 ELSE 0 END
-      - CASE WHEN list_has_any(parts, {lst(fixed.LOW_DIRS_P)}) THEN 0.2 ELSE 0 END - greatest(len(parts) - 5, 0) * 0.1
-      - CASE WHEN regexp_matches(name, '\\.(json|yaml|yml)$') AND name NOT IN ('package.json', 'tsconfig.json') THEN 0.1 ELSE 0 END))::DOUBLE AS importance FROM ip)"""
-
-
-def _importance_b_sql() -> str:
-    lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-    return f"""{PATHS_SQL}, ib AS (SELECT path, string_split(path, '/')[:-2] AS dirs, string_split(path, '/')[-1] AS name, greatest(len(string_split(path, '/')) - 1, 1) AS depth, lower(string_split(path, '.')[-1]) AS ext FROM paths),
-    imb AS (SELECT path, greatest(0, least(1, 0.5 + CASE WHEN list_contains({lst(fixed.ENTRY_B)}, name) THEN 0.3 ELSE 0 END + CASE WHEN list_has_any(dirs, {lst(fixed.HIGH_DIRS_B)}) THEN 0.1 ELSE 0 END
-      - CASE WHEN list_has_any(dirs, {lst(fixed.LOW_DIRS_B)}) THEN 0.2 ELSE 0 END - CASE WHEN regexp_matches(path, '{"|".join(fixed.LOW_NAMES_B)}') THEN 0.15 ELSE 0 END - greatest(depth - 3, 0) * 0.05
-      - CASE WHEN ext IN ('md', 'mdx') THEN 0.1 ELSE 0 END - CASE WHEN ext IN ('json', 'yaml', 'yml') THEN 0.05 ELSE 0 END))::DOUBLE AS importance FROM ib)"""
+@query(_digest_sql(_tok_p_sql("text")))
+def tokenize_p(s, d):
+    return inputs.documents(s, d).select("doc_id", *_digest(T.tokenize_p(F.col("text"))))
 
 
-def _pagerank_sql(rounds: int = 10) -> str:
-    out = f"{EDGES_SQL}, deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY src), flow AS (SELECT e.src, e.dst, count(*)::DOUBLE / any_value(deg) AS share FROM edges e JOIN deg USING (src) GROUP BY e.src, e.dst), r0 AS (SELECT s_suppkey AS path, 1.0::DOUBLE AS score FROM supplier)"
-    for i in range(rounds):
-        out += f", r{i + 1} AS (SELECT s_suppkey AS path, 0.15::DOUBLE + 0.85::DOUBLE * coalesce((SELECT sum(score * share) FROM flow JOIN r{i} ON r{i}.path = flow.src WHERE flow.dst = s_suppkey), 0) AS score FROM supplier)".replace("(SELECT sum(score * share)", "(SELECT sum(score * share)")
-    return out
+@query(_digest_sql(_tok_b_sql("text", stop=True)))
+def tokenize_b(s, d):
+    return inputs.documents(s, d).select("doc_id", *_digest(T.tokenize_b(F.col("text"), stop=True, stems=True)))
 
 
-def _sections_sql() -> str:
-    return """src AS (SELECT source AS path, string_split(string_agg(text, chr(10) ORDER BY doc_id), chr(10)) AS lines FROM documents GROUP BY source),
-    cs AS (SELECT path, lines, unnest(generate_series(0, len(lines) - 1, 200)) AS s FROM src WHERE len(lines) > 200
-      UNION ALL SELECT path, lines, 0 FROM src WHERE len(lines) <= 200)"""
+@query(f"WITH w AS (SELECT DISTINCT unnest({_tok_b_sql('text', stems=False)}) AS word FROM documents) SELECT word, {_stem_sql('word')} AS stem FROM w")
+def stem_b(s, d):
+    words = inputs.documents(s, d).select(F.explode(T.tokenize_b(F.col("text"))).alias("word")).distinct()
+    return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
+_ODD_SQL = "replace(replace(text, ' th', '_th'), 'e ', '2e_')"
 
-def _round(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*cols[:-1], F.round(cols[-1], 6).alias(cols[-1]))
 
+@query(f"WITH t AS (SELECT doc_id, {_tok_p_sql(_ODD_SQL)} AS toks FROM documents) SELECT doc_id, len(toks)::BIGINT AS n_tokens, len(list_filter(toks, lambda t: t = 'the'))::BIGINT AS n_the FROM t")
+def token_counts_p(s, d):
+    """Counted without making tokens, over texts with many identifiers of several parts."""
+    odd = F.replace(F.replace(F.col("text"), F.lit(" th"), F.lit("_th")), F.lit("e "), F.lit("2e_"))
+    n, (the,) = T.counts_p(odd, ["the"])
+    return inputs.documents(s, d).select("doc_id", n.cast("long").alias("n_tokens"), the.cast("long").alias("n_the"))
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").cast("double").alias("relevance"))
 
+# Keyword scores
 
-def _packed_p(spark: SparkSession, d: str, choose) -> DataFrame:
-    s = rank.keyword_rank_p(_docs(spark, d).withColumn("tokens", T.token_estimate(F.col("content"))), QUERY_P).withColumn("score", F.round("score", 6))
-    return select.packed(s, _docs(spark, d), ["path", "start_line"], choose)
 
+@query(f"WITH t AS (SELECT unnest(list_distinct({_tok_p_sql('text')})) AS term FROM documents) SELECT term, count(*) AS df FROM t GROUP BY term")
+def doc_freqs(s, d):
+    return rank.doc_frequencies(inputs.docs(s, d))
 
-def _greedy_p(spark: SparkSession, d: str) -> DataFrame:
-    return _packed_p(spark, d, lambda r: select.greedy(r, BUDGET))
 
+@query(f"SELECT count(*) AS n_docs, round(avg(len({_tok_p_sql('text')})), 6) AS avgdl FROM documents")
+def corpus_stats(s, d):
+    return _round(rank.corpus_stats(inputs.docs(s, d)), "n_docs", "avgdl")
 
-RANKED_SQL = "rk AS (SELECT *, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, row_number() OVER (ORDER BY round(score, 6) DESC, path) AS rank FROM kp)"
-FOLD_SQL = "list_reduce(list_transform(list(struct_pack(k := rank, t := tokens::DOUBLE) ORDER BY rank), lambda x: struct_pack(total := x.t, taken := [x.k])), lambda a, x: CASE WHEN a.total + x.total <= {cap} THEN struct_pack(total := a.total + x.total, taken := list_concat(a.taken, x.taken)) ELSE a END, struct_pack(total := 0.0::DOUBLE, taken := []::BIGINT[]))"
 
+def _bm25_sql() -> str:
+    terms = sorted(set(T.query_tokens_p(QUERY_P)))
+    counts = ", ".join(f"len(list_filter(toks, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(terms))
+    found = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(terms)))
+    score = " + ".join(f"CASE WHEN f{i} > 0 THEN ln((n_docs - d{i} + 0.5) / (d{i} + 0.5) + 1) * f{i} * 2.5 / (f{i} + 1.5 * (0.25 + 0.75 * n / avgdl)) ELSE 0 END" for i in range(len(terms)))
+    return f"""{DOCS_SQL}, tk AS (SELECT *, {_tok_p_sql("content")} AS toks FROM docs),
+    tf AS (SELECT *, len(toks) AS n, {counts} FROM tk),
+    st AS (SELECT count(*)::DOUBLE AS n_docs, avg(n) AS avgdl, {found} FROM tf),
+    bm AS (SELECT tf.*, {score} AS bm25 FROM tf, st)"""
 
-def _code(spark: SparkSession) -> DataFrame:
-    """The hand-made files of the chunk fixtures."""
-    big = ["import os", "import re", "", "", "def alpha():", *["    x = 1"] * 59, "class Beta:", "    def gamma(self):", *["        y = 2"] * 84, "async def delta():", *["    z = 3"] * 59]
-    small = ["export const A = 1;", "export function run() {", *["  step();"] * 10, "}"]
-    large = ["class Big:", *["    pass"] * 449]
-    rows = [("a/big.py", big, "python"), ("b/small.ts", small, "typescript"), ("c/large.py", large, "python")]
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("path"), F.lit("\n".join(x)).alias("content"), F.lit(g).alias("language")) for p, x, g in rows))))
 
+def _keyword_p_sql() -> str:
+    asked = sql_list(sorted(set(T.query_tokens_p(QUERY_P))))
+    inside = lambda x: f"len(list_intersect(list_distinct({_tok_p_sql(x)}), {asked}))"
+    return f"""{_bm25_sql()}, raw AS (SELECT *, bm25 + 2 * {inside("path")} + 3 * {inside("coalesce(name, '')")} AS r FROM bm),
+    kp AS (SELECT *, CASE WHEN max(r) OVER () > 0 THEN r / max(r) OVER () ELSE r END AS score FROM raw)"""
 
-IMPORT_FILES = [("pkg/__init__.py", "", "python"), ("pkg/core.py", "from .util import f\nimport pkg.sub.deep\nfrom ..other import g", "python"), ("pkg/util.py", "import os", "python"), ("pkg/sub/deep.py", "from . import x", "python"), ("pkg/x.ts", "", "typescript"), ("web/app.ts", "import { a } from './lib';\nimport b from '../pkg/x';\nconst y = require('./lib');", "typescript"), ("web/lib.ts", "import React from 'react';", "typescript")]
 
+def _keyword_b_sql() -> str:
+    terms, strong = T.query_tokens_b(QUERY_B), T.important_terms(QUERY_B)
+    hits = lambda c, t: f"len(list_filter({c}, lambda x: contains(x, '{t}') OR contains('{t}', x)))"
+    density = "(1 + least(1.0::DOUBLE, 200.0::DOUBLE / greatest(len(c), 1)))"
+    equal = lambda c, t, n: f"CASE WHEN list_contains({c}, '{t}') THEN {n} ELSE 0 END"
 
-def _imports(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(x).alias("content"), F.lit(g).alias("language")) for p, x, g in IMPORT_FILES))))
+    def part(t: str) -> str:
+        content = f"CASE WHEN {hits('c', t)} > 0 THEN (1 + ln({hits('c', t)}::DOUBLE)) * {density} ELSE 0 END"
+        return f"{5 if t in strong else 1} * ({content} + 2 * {hits('p', t)} + 3 * {hits('n', t)} + {equal('c', t, 2)} + {equal('p', t, 10)} + {equal('n', t, 20)})"
 
+    every = " AND ".join(f"({hits('c', t)} + {hits('p', t)} + {hits('n', t)} > 0)" for t in terms)
+    return f"""{DOCS_SQL},
+    tb AS (SELECT *, {_tok_b_sql("content")} AS c, {_tok_b_sql("path")} AS p, {_tok_b_sql("coalesce(name, '')")} AS n FROM docs),
+    kb AS (SELECT *, ({" + ".join(map(part, terms))}) * CASE WHEN {every} THEN 1.5 ELSE 1 END
+      * CASE WHEN contains(path, '.test.') OR contains(path, '.spec.') OR contains(path, '__fixtures__') OR contains(path, '__tests__') THEN 0.5 ELSE 1 END
+      * CASE WHEN contains(path, '/codemod/') OR contains(path, '/codemods/') THEN 0.3 ELSE 1 END
+      * CASE WHEN contains(path, 'prepare') THEN 0.7 ELSE 1 END AS score FROM tb)"""
 
-def _values(cols: str, rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({cols})"
 
+@query(f"WITH {_bm25_sql()} SELECT doc_id, round(bm25::DOUBLE, 6) AS bm25 FROM bm")
+def bm25(s, d):
+    return _round(rank.bm25(inputs.docs(s, d), QUERY_P), "doc_id", "bm25")
 
-def _embedded(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
+@query(f"WITH {_keyword_p_sql()} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM kp")
+def keyword_rank_p(s, d):
+    return _round(rank.keyword_rank_p(inputs.docs(s, d), QUERY_P), "doc_id", "score")
 
-def _first_vector(spark: SparkSession, d: str) -> list[float]:
-    return [float(x) for x in _embedded(spark, d).orderBy("doc_id").first()[1]]
 
+@query(f"WITH {_keyword_b_sql()} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM kb")
+def keyword_rank_b(s, d):
+    return _round(rank.keyword_rank_b(inputs.docs(s, d), QUERY_B), "doc_id", "score")
 
-COS_SQL = "qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), em AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], q) AS emb FROM embeddings, qv)"
 
+@query(f"""WITH {_bm25_sql()} SELECT doc_id, round(CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 0.5
+  ELSE (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END::DOUBLE, 6) AS score FROM bm""")
+def minmax_scores(s, d):
+    return _round(rank.minmax(rank.bm25(inputs.docs(s, d), QUERY_P), "bm25", "score"), "doc_id", "score")
 
-def _hybrid_rows(spark: SparkSession, d: str, kw: DataFrame) -> DataFrame:
-    r = rank.embedding_rank(kw.withColumnRenamed("score", "kw"), _embedded(spark, d), _first_vector(spark, d), "doc_id")
-    return r.withColumn("importance", T.importance_p(F.col("path"))).withColumn("centrality", F.lit(0.0))
 
+# Selection under a budget
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by keyword score, packed into the budget."""
-    return pack_greedy(spark, sf_dir)
 
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    rows = inputs.docs(s, d).withColumn("tokens", T.token_estimate(F.col("content")))
+    # the count is of the content, so it goes into the table that the content is read for
+    return rank.keyword_rank_p(rows, QUERY_P).withColumn("score", F.round("score", 6))
 
-def tokenize_p(s, d):
-    return _docs(s, d).select("doc_id", F.size(T.tokenize_p(F.col("content"))).cast("long").alias("n_tokens"), F.md5(F.array_join(T.tokenize_p(F.col("content")), " ")).alias("digest"))
 
+def _packed(s: SparkSession, d: str, choose) -> DataFrame:
+    return select.packed(_scored(s, d), inputs.docs(s, d), ["path", "start_line"], choose)
 
-def tokenize_b(s, d):
-    t = T.tokenize_b(F.col("content"), stop=True, stems=True)
-    return _docs(s, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
+def _greedy(s: SparkSession, d: str) -> DataFrame:
+    return _packed(s, d, lambda r: select.greedy(r, BUDGET))
 
-def stem_b(s, d):
-    w = s.read.parquet(f"{d}/documents.parquet").select(F.explode(T.tokenize_b(F.col("text"))).alias("word")).distinct()
-    return w.select("word", T.stem(F.col("word")).alias("stem"))
 
+RANKED_SQL = "rk AS (SELECT *, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, row_number() OVER (ORDER BY round(score, 6) DESC, path) AS rank FROM kp)"
 
-def doc_freqs(s, d):
-    return rank.doc_frequencies(_docs(s, d))
 
+def _fold_sql(fits: str, start: str = "0.0", extra: int = 0) -> str:
+    """Over rows (rank, tokens): the total and the ranks taken. fits: whether a.total + x.total may be."""
+    row = f"struct_pack(k := rank, t := tokens::DOUBLE + {extra})"
+    first = f"struct_pack(total := {start}::DOUBLE, taken := []::BIGINT[])"
+    took = "struct_pack(total := a.total + x.total, taken := list_concat(a.taken, x.taken))"
+    return f"""list_reduce(list_transform(list({row} ORDER BY rank), lambda x: struct_pack(total := x.t, taken := [x.k])),
+      lambda a, x: CASE WHEN {fits} THEN {took} ELSE a END, {first})"""
 
-def corpus_stats(s, d):
-    return _round(rank.corpus_stats(_docs(s, d)), "n_docs", "avgdl")
 
+GREEDY_SQL = f"""WITH {_keyword_p_sql()}, {RANKED_SQL},
+f AS (SELECT {_fold_sql(f"a.total + x.total <= {BUDGET}")} AS r FROM rk WHERE tokens <= {BUDGET}),
+tk1 AS (SELECT unnest(r.taken) AS rank FROM f), sel AS (SELECT rk.* FROM rk JOIN tk1 USING (rank))"""
 
-def bm25(s, d):
-    return _round(rank.bm25(_docs(s, d), QUERY_P), "doc_id", "bm25")
 
+def entry(s: SparkSession, d: str) -> DataFrame:
+    """Documents by keyword score, packed into the budget."""
+    return pack_greedy(s, d)
 
-def keyword_rank_p(s, d):
-    return _round(rank.keyword_rank_p(_docs(s, d), QUERY_P), "doc_id", "score")
 
+@query(f"{GREEDY_SQL} SELECT rank, path, 1 AS start_line, round(score::DOUBLE, 6) AS score, tokens FROM sel")
+def pack_greedy(s, d):
+    return _greedy(s, d).select("rank", "path", "start_line", "score", "tokens")
 
-def keyword_rank_b(s, d):
-    return _round(rank.keyword_rank_b(_docs(s, d), QUERY_B), "doc_id", "score")
 
+@query(f"""WITH {_keyword_p_sql()}, {RANKED_SQL},
+f AS (SELECT {_fold_sql("a.total + x.total <= 3800 AND a.total < 3724", extra=50)} AS r FROM rk WHERE tokens + 50 <= 3800),
+t AS (SELECT unnest(r.taken) AS rank FROM f) SELECT rank, path, tokens FROM rk JOIN t USING (rank)""")
+def pack_single_b(s, d):
+    return _packed(s, d, lambda r: select.pack_single(r, BUDGET)).select("rank", "path", "tokens")
+
+
+@query(f"""WITH {_keyword_p_sql()}, {RANKED_SQL},
+e0 AS (SELECT a.path AS src, b.path AS dst FROM rk a JOIN rk b ON b.doc_id = a.doc_id + 3),
+f1 AS (SELECT {_fold_sql(f"a.total + x.total <= {0.7 * BUDGET}")} AS r FROM rk WHERE tokens <= {0.7 * BUDGET}),
+one AS (SELECT rk.* FROM rk JOIN (SELECT unnest(r.taken) AS rank FROM f1) USING (rank)),
+near AS (SELECT dst AS path FROM e0 WHERE src IN (SELECT path FROM one) UNION SELECT src FROM e0 WHERE dst IN (SELECT path FROM one)),
+f2 AS (SELECT {_fold_sql(f"a.total + x.total <= {BUDGET}", "max(spent)")} AS r FROM rk, (SELECT sum(tokens) AS spent FROM one)
+  WHERE path IN (SELECT path FROM near) AND path NOT IN (SELECT path FROM one)),
+two AS (SELECT rk.* FROM rk JOIN (SELECT unnest(r.taken) AS rank FROM f2) USING (rank))
+SELECT rank, path, tokens, 1 AS pass FROM one UNION ALL SELECT rank, path, tokens, 2 FROM two""")
+def pack_two_pass_p(s, d):
+    """Each document as if it imported the one three numbers on."""
+    docs = inputs.docs(s, d).select("doc_id", "path")
+    edges = docs.join(docs.select((F.col("doc_id") - 3).alias("doc_id"), F.col("path").alias("dst")), "doc_id").select(F.col("path").alias("src"), "dst")
+    return _packed(s, d, lambda r: select.pack_two_pass(r, BUDGET, edges)).select("rank", "path", "tokens", "pass")
 
-def pack_greedy(s, d):
-    return _greedy_p(s, d).select("rank", "path", "start_line", "score", "tokens")
 
+@query(f"""{GREEDY_SQL} SELECT (SELECT count(*) FROM docs) AS files_scanned, count(DISTINCT path) AS files_included, count(*) AS chunks,
+  CAST(coalesce(sum(tokens), 0) AS BIGINT) AS total_tokens, CAST({BUDGET} AS BIGINT) AS budget FROM sel""")
+def result_stats(s, d):
+    return select.stats(inputs.docs(s, d), pack_greedy(s, d), BUDGET)
 
-def pack_single_b(s, d):
-    return _packed_p(s, d, lambda r: select.pack_single(r, BUDGET)).select("rank", "path", "tokens")
 
+# Texts of the selection
 
-def pack_two_pass_p(s, d):
-    """Documents of the same language follow one another in rank order as if each imported the next."""
-    from pyspark.sql.window import Window
 
-    nxt = F.lead("path").over(Window.partitionBy("language").orderBy("doc_id"))
-    edges = _docs(s, d).select(F.col("path").alias("src"), nxt.alias("dst")).where("dst is not null")
-    return _packed_p(s, d, lambda r: select.pack_two_pass(r, BUDGET, edges)).select("rank", "path", "tokens", "pass")
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
-def result_stats(s, d):
-    return select.stats(_docs(s, d), pack_greedy(s, d), BUDGET)
+def _text_sql(each: str, between: str, rows: str = "sel", order: str = "rank") -> str:
+    whole = f"string_agg({each}, {between} ORDER BY {order})"
+    return f"{GREEDY_SQL} SELECT sha256({whole}) AS digest, length({whole}) AS n_chars FROM {rows}"
 
 
+_NL = "chr(10)"
+_FENCED = f"'```' || language || {_NL} || content || {_NL} || '```'"
+_NAMED = "CASE WHEN name <> '' THEN ' (file: ' || name || ')' ELSE '' END"
+
+
+@query(_text_sql(f"'## ' || path || ':L1-' || end_line || {_NAMED} || {_NL} || {_NL} || {_FENCED}", f"{_NL} || {_NL} || '---' || {_NL} || {_NL}"))
+def render_markdown_p(s, d):
+    return _text(render.markdown_p(_greedy(s, d)))
+
+
+@query(_text_sql(f"""'<file path="' || path || '"' || CASE WHEN name <> '' THEN ' name="' || name || '" type="file"' ELSE '' END
+  || ' lines="1-' || end_line || '" language="' || language || '">' || {_NL} || content || {_NL} || '</file>'""", f"{_NL} || {_NL}"))
+def render_xml_p(s, d):
+    return _text(render.xml_p(_greedy(s, d)))
+
+
+@query(f"""{GREEDY_SQL}, part AS (
+  SELECT path, CASE WHEN len(string_split(content, chr(10))) = 1 AND part = 2 THEN 0 ELSE part END AS part, rank, name, language,
+    CASE part WHEN 1 THEN 1 ELSE 1 + end_line END AS first, CASE part WHEN 1 THEN end_line ELSE end_line + 2 END AS last, content
+  FROM sel, (VALUES (1), (2)) p(part)
+), chunk AS (
+  SELECT path, rank, first, '### ' || CASE WHEN first = last THEN 'Line ' || first ELSE 'Lines ' || first || '-' || last END || {_NAMED}
+    || {_NL} || {_NL} || {_FENCED} || {_NL} AS t FROM part
+), file AS (SELECT path, min(rank) AS rank, '## ' || path || {_NL} || {_NL} || string_agg(t, {_NL} ORDER BY first) AS t FROM chunk GROUP BY path)
+SELECT sha256(string_agg(t, {_NL} ORDER BY rank)) AS digest, length(string_agg(t, {_NL} ORDER BY rank)) AS n_chars FROM file""")
+def render_markdown_b(s, d):
+    """Each chosen document as a file of two chunks, the later one ranked further down."""
+    one = _greedy(s, d)
+    two = one.withColumns({"start_line": F.col("end_line") + 1, "end_line": F.col("end_line") + 2, "rank": F.col("rank") + 1_000_000})
+    return _text(render.markdown_b(one.unionByName(two)))
+
+
+# Paths
+
+
+def _paths_query(cols: str, rows: str = "paths") -> str:
+    return f"WITH {PATHS_SQL} SELECT path, {cols} FROM {rows}"
+
+
+_BASE_SQL = "string_split(path, '/')[-1]"
+
+
+@query(_paths_query(f"{inputs.language_sql(fixed.LANGUAGES_P, inputs.EXT_P_SQL, 'NULL')} AS lang_p, {inputs.language_sql(fixed.LANGUAGES_B, inputs.EXT_B_SQL, chr(39) + 'text' + chr(39))} AS lang_b"))
 def languages(s, d):
-    return _paths(s).select("path", T.language_p(F.col("path")).alias("lang_p"), T.language_b(F.col("path")).alias("lang_b"))
+    return inputs.paths(s, d).select("path", T.language_p(F.col("path")).alias("lang_p"), T.language_b(F.col("path")).alias("lang_b"))
 
 
+@query(_paths_query(f"""list_has_any(string_split(path, '/'), {sql_list(fixed.IGNORE_DIRS)}) OR list_contains({sql_list(fixed.IGNORE_FILES)}, {_BASE_SQL})
+  OR list_contains({sql_list(fixed.BINARY_P)}, {inputs.EXT_P_SQL}) AS ignored"""))
 def ignored_p(s, d):
-    return _paths(s).select("path", T.ignored_p(F.col("path")).alias("ignored"))
+    return inputs.paths(s, d).select("path", T.ignored_p(F.col("path")).alias("ignored"))
 
 
+@query(_paths_query(r"""path LIKE 'src/%' OR path LIKE '%.py' OR regexp_full_match(path, '[a-d][^x-z].*') OR regexp_full_match(string_split(path, '/')[-1], '[a-d][^x-z].*') AS glob_p,
+  regexp_full_match(path, 'src/[^/]*') OR regexp_full_match(path, '(.*/)?[^/]*\.py') OR regexp_full_match(path, '(lib|app)/.*[a-m][^/]*\.(ts|js)') AS glob_b"""))
 def globs(s, d):
-    return _paths(s).select("path", T.matches_p(F.col("path"), ["src/*", "*.py"]).alias("glob_p"), T.matches_b(F.col("path"), ["src/*", "**/*.py"]).alias("glob_b"))
+    p = F.col("path")
+    both = T.matches_p(p, ["src/*", "*.py", "[a-d][!x-z]*"]), T.matches_b(p, ["src/*", "**/*.py", "{lib,app}/**[a-m]*.{ts,js}"])
+    return inputs.paths(s, d).select("path", both[0].alias("glob_p"), both[1].alias("glob_b"))
 
 
+@query("""WITH s AS (SELECT source AS path, string_agg(text, chr(10) ORDER BY doc_id) AS c FROM documents GROUP BY source)
+SELECT path, strlen(c) <= 1048576 AND len(string_split(c, chr(10))) <= 20000 AS kept, len(string_split(c, chr(10)))::BIGINT AS n_lines FROM s""")
 def size_limit(s, d):
-    return _by_source(s, d).select("path", T.within_limits(F.col("content"), "B").alias("kept"), F.size(F.split("content", "\n", -1)).cast("long").alias("n_lines"))
+    f = inputs.by_source(s, d)
+    return f.select("path", T.within_limits(F.col("content"), "B").alias("kept"), F.size(F.split("content", "\n", -1)).cast("long").alias("n_lines"))
+
+
+_ENDS_SQL = r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, strlen(text) AS size, {_ENDS_SQL} AS t FROM (SELECT doc_id, replace(text, ' ', chr(13)) || repeat(chr(10), (doc_id % 3)::INT) AS text FROM documents))
+SELECT doc_id, size, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) - CASE WHEN suffix(t, chr(10)) THEN 1 ELSE 0 END END::BIGINT AS n_lines FROM t""")
+def count_lines_p(s, d):
+    """Texts with a carriage return for each space, and up to two line feeds more."""
+    text = F.concat(F.replace("text", F.lit(" "), F.lit(chr(13))), F.repeat(F.lit(chr(10)), (F.col("doc_id") % 3).cast("int")))
+    rows = inputs.documents(s, d).select("doc_id", text.alias("text"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("size"), T.count_lines_p(F.col("text")).cast("long").alias("n_lines"))
+
 
+def _importance_p_sql(rows: str) -> str:
+    some = lambda xs: f"list_has_any(parts, {sql_list(xs)})"
+    return f"""ip AS (SELECT path, string_split(lower(path), '/') AS parts, string_split(lower(path), '/')[-1] AS base FROM {rows}),
+    imp AS (SELECT path, greatest(0, least(1, 0.5 + CASE WHEN list_contains({sql_list(fixed.ENTRY_P)}, base) THEN 0.3 ELSE 0 END
+      + CASE WHEN regexp_matches(base, '^(main|index|app)') THEN 0.15 ELSE 0 END
+      + CASE WHEN base = '__init__.py' AND len(parts) <= 3 THEN 0.1 ELSE 0 END + CASE WHEN {some(fixed.HIGH_DIRS_P)} THEN 0.1 ELSE 0 END
+      - CASE WHEN {some(fixed.LOW_DIRS_P)} THEN 0.2 ELSE 0 END - greatest(len(parts) - 5, 0) * 0.1
+      - CASE WHEN regexp_matches(base, '\\.(json|yaml|yml)$') AND base NOT IN ('package.json', 'tsconfig.json') THEN 0.1 ELSE 0 END))::DOUBLE AS importance FROM ip)"""
 
+
+def _importance_b_sql(rows: str) -> str:
+    some = lambda xs: f"list_has_any(dirs, {sql_list(xs)})"
+    return f"""ib AS (
+      SELECT path, string_split(path, '/')[:-2] AS dirs, {_BASE_SQL} AS base, greatest(len(string_split(path, '/')) - 1, 1) AS depth, {inputs.EXT_B_SQL} AS ext FROM {rows}
+    ), imb AS (SELECT path, greatest(0, least(1, 0.5 + CASE WHEN list_contains({sql_list(fixed.ENTRY_B)}, base) THEN 0.3 ELSE 0 END
+      + CASE WHEN {some(fixed.HIGH_DIRS_B)} THEN 0.1 ELSE 0 END - CASE WHEN {some(fixed.LOW_DIRS_B)} THEN 0.2 ELSE 0 END
+      - CASE WHEN regexp_matches(path, '{"|".join(fixed.LOW_NAMES_B)}') THEN 0.15 ELSE 0 END - greatest(depth - 3, 0) * 0.05
+      - CASE WHEN ext IN ('md', 'mdx') THEN 0.1 ELSE 0 END - CASE WHEN ext IN ('json', 'yaml', 'yml') THEN 0.05 ELSE 0 END))::DOUBLE AS importance FROM ib)"""
+
+
+@query(f"WITH {PATHS_SQL}, {_importance_p_sql('paths')} SELECT path, round(importance, 6) AS importance FROM imp")
 def importance_p(s, d):
-    return _round(_paths(s).withColumn("importance", T.importance_p(F.col("path"))), "path", "importance")
+    return _round(inputs.paths(s, d).withColumn("importance", T.importance_p(F.col("path"))), "path", "importance")
 
 
+@query(f"WITH {PATHS_SQL}, {_importance_b_sql('paths')} SELECT path, round(importance, 6) AS importance FROM imb")
 def importance_b(s, d):
-    return _round(_paths(s).withColumn("importance", T.importance_b(F.col("path"))), "path", "importance")
+    return _round(inputs.paths(s, d).withColumn("importance", T.importance_b(F.col("path"))), "path", "importance")
+
+
+_CENTRAL_SQL = "CASE WHEN length(path) % 3 = 0 THEN 'x' || path ELSE path END AS path, (length(path) % 11) / 10.0::DOUBLE AS centrality"
+
+
+@query(f"""WITH {PATHS_SQL}, {_importance_b_sql("paths")}, c AS (SELECT {_CENTRAL_SQL} FROM paths)
+SELECT path, round((coalesce(importance, 0.5) * 0.6 + coalesce(centrality, 0.5) * 0.4)::DOUBLE, 6) AS combined FROM imb FULL JOIN c USING (path)""")
+def combine_scores_b(s, d):
+    """A third of the paths has no centrality, as many have nothing but one."""
+    p = inputs.paths(s, d)
+    n = F.length("path")
+    central = p.select(F.when(n % 3 == 0, F.concat(F.lit("x"), "path")).otherwise(F.col("path")).alias("path"), ((n % 11) / 10.0).alias("centrality"))
+    return _round(rank.combine_scores(p.withColumn("importance", T.importance_b(F.col("path"))), central), "path", "combined")
 
 
+# Chunks
+
+
+@query("""WITH src AS (SELECT source AS path, string_split(string_agg(text, chr(10) ORDER BY doc_id), chr(10)) AS lines FROM documents GROUP BY source),
+cs AS (SELECT path, lines, unnest(generate_series(0, len(lines) - 1, 200)) AS s FROM src)
+SELECT path, CAST(s + 1 AS INT) AS start_line, CAST(least(s + 200, len(lines)) AS INT) AS end_line, sha256(array_to_string(lines[s + 1 : s + 200], chr(10))) AS digest FROM cs""")
 def chunk_sections(s, d):
-    c = chunk.chunk_p(_by_source(s, d))
+    c = chunk.chunk_p(inputs.by_source(s, d))
     return c.select("path", "start_line", "end_line", F.sha2("content", 256).alias("digest"))
 
 
+@query("""WITH src AS (SELECT source AS path, string_split(string_agg(text, chr(10) ORDER BY doc_id), chr(10)) AS lines FROM documents GROUP BY source),
+cs AS (SELECT path, lines, unnest(generate_series(0, len(lines) - 1, 200)) AS s FROM src)
+SELECT path, CAST(s + 1 AS INT) AS start_line, CAST(least(s + 200, len(lines)) AS INT) AS end_line, sha256(path || ':' || s) AS id,
+  CAST(ceil(length(array_to_string(lines[s + 1 : s + 200], chr(10))) / 4.0) AS BIGINT) AS tokens FROM cs""")
 def chunk_ids_b(s, d):
-    c = chunk.chunk_b(_by_source(s, d))
-    return c.select("path", "start_line", "end_line", "id", "tokens")
+    return chunk.chunk_b(inputs.by_source(s, d)).select("path", "start_line", "end_line", "id", "tokens")
+
+
+def _definitions_sql(patterns: dict, line: str, strict: bool = False) -> str:
+    """(chunk_type, name) of the first pattern that fits a line, by language; null if none does."""
+    esc = lambda p: p.replace("'", "''")
+    of = lambda p, kind, group=1: f"WHEN regexp_matches({line}, '{esc(p)}') THEN struct_pack(kind := '{kind}', name := nullif(regexp_extract({line}, '{esc(p)}', {1 if strict else group}), ''))"
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN CASE {' '.join(of(*p) for p in ps)} END" for k, ps in patterns.items()) + " END"
+
+
+def _code_sql(patterns: dict, line: str, strict: bool = False) -> str:
+    """defs(path, first, next, chunk_type, name) over all files, next being the line of the definition after or the end."""
+    return f"""WITH {CODE_SQL}, each AS (SELECT path, language, len(lines) AS n, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM code),
+    found AS (SELECT path, n, i, {_definitions_sql(patterns, line, strict)} AS f FROM each),
+    defs AS (SELECT path, n, i AS first, lead(i, 1, n) OVER (PARTITION BY path ORDER BY i) AS next, f.kind AS chunk_type, f.name AS name FROM found WHERE f IS NOT NULL)"""
+
+
+def _chunks_p_sql(strict: bool) -> str:
+    return f"""{_code_sql(fixed.DEFINITIONS_P, "regexp_replace(line, '^\\s+|\\s+$', '', 'g')", strict)},
+    large AS (SELECT * FROM code WHERE len(lines) > 200),
+    heads AS (SELECT path, min(first) AS first FROM defs GROUP BY path),
+    spans AS (
+      SELECT path, 0 AS first, len(lines) AS next, 'file' AS chunk_type, NULL AS name FROM code WHERE len(lines) <= 200
+      UNION ALL SELECT path, first, next, chunk_type, name FROM defs WHERE path IN (SELECT path FROM large)
+      UNION ALL SELECT path, 0, first, 'header', NULL FROM heads JOIN large USING (path) WHERE first > 0 AND regexp_matches(array_to_string(lines[1 : first], chr(10)), '\\S')
+      UNION ALL SELECT path, s, least(s + 200, n), 'section', NULL FROM (SELECT path, len(lines) AS n, unnest(range(0, len(lines), 200)) AS s FROM large WHERE path NOT IN (SELECT path FROM heads))
+    )
+    SELECT path, CAST(first + 1 AS INT) AS start_line, CAST(next AS INT) AS end_line, chunk_type, name, md5(array_to_string(lines[first + 1 : next], chr(10))) AS digest FROM spans JOIN code USING (path)"""
 
 
+CHUNKS_B_SQL = f"""{_code_sql(fixed.DEFINITIONS_B, "line")},
+counted AS (SELECT path, count(*) AS k, min(first) AS head FROM defs GROUP BY path),
+whole AS (SELECT defs.* FROM defs JOIN counted USING (path) WHERE next - first >= 10 OR k = 1),
+spans AS (
+  SELECT path, s AS first, least(s + 200, next) AS next, chunk_type, CASE WHEN s = first THEN name ELSE name || ' (continued)' END AS name
+  FROM (SELECT *, unnest(range(first, next, 200)) AS s FROM whole)
+  UNION ALL SELECT path, 0, head, 'section', 'imports/preamble' FROM counted WHERE head >= 10
+  UNION ALL SELECT path, s, least(s + 200, n), 'section', NULL FROM (SELECT path, len(lines) AS n, unnest(range(0, len(lines), 200)) AS s FROM code WHERE path NOT IN (SELECT path FROM counted))
+)
+SELECT path, CAST(first + 1 AS INT) AS start_line, CAST(next AS INT) AS end_line, chunk_type, name, md5(array_to_string(lines[first + 1 : next], chr(10))) AS digest FROM spans JOIN code USING (path)"""
+
+
+def _spans(chunks: DataFrame) -> DataFrame:
+    return chunks.select("path", "start_line", "end_line", "chunk_type", "name", F.md5("content").alias("digest"))
+
+
+@query(_chunks_p_sql(False))
 def chunk_definitions_p(s, d):
-    return chunk.chunk_p(_code(s)).select("path", "start_line", "end_line", "chunk_type", "name")
+    return _spans(chunk.chunk_p(inputs.code(s, d)))
 
 
+@query(_chunks_p_sql(True))
 def chunk_definitions_p_strict(s, d):
-    return chunk.chunk_p(_code(s), strict=True).select("path", "start_line", "end_line", "chunk_type", "name")
+    return _spans(chunk.chunk_p(inputs.code(s, d), strict=True))
 
 
+@query(CHUNKS_B_SQL)
 def chunk_definitions_b(s, d):
-    return chunk.chunk_b(_code(s)).select("path", "start_line", "end_line", "chunk_type", "name")
+    return _spans(chunk.chunk_b(inputs.code(s, d)))
 
 
-def cosine_topk(s, d):
-    q = _first_vector(s, d)
-    e = _embedded(s, d).withColumn("score", rank.cosine(F.col("vector"), F.array(*map(F.lit, q))))
-    return _round(e, "doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+# Graphs
 
 
-def minmax_scores(s, d):
-    return _round(rank.minmax(rank.bm25(_docs(s, d), QUERY_P), "bm25", "score"), "doc_id", "score")
+def _quoted(p: str) -> str:
+    return p.replace("'", "''")
 
 
-def combine_scores_b(s, d):
-    central = graph.centrality_p(*_fixture_graph(s)).select("path", "centrality")
-    imp = _paths(s).select("path", T.importance_b(F.col("path")).alias("importance"))
-    return _round(rank.combine_scores(imp, central), "path", "combined")
+def _imports_p_sql() -> str:
+    cases = []
+    for lang, ps in fixed.IMPORTS_P.items():
+        one = []
+        for p, g, dots in ps:
+            relative = f"regexp_extract(line, '{_quoted(p)}', {dots}) <> ''" if dots else f"prefix(regexp_extract(line, '{_quoted(p)}', {g}), '.')" if lang in ("javascript", "typescript") else "false"
+            up = f"length(regexp_extract(line, '{_quoted(p)}', {dots}))" if dots else "0"
+            one.append(f"WHEN regexp_matches(line, '{_quoted(p)}') THEN struct_pack(module := regexp_extract(line, '{_quoted(p)}', {g}), rel := {relative}, up := {up})")
+        cases.append(f"WHEN '{lang}' THEN CASE {' '.join(one)} END")
+    return f"""{IMPORTS_SQL}, ln AS (
+      SELECT path, language, i, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line
+      FROM (SELECT path, language, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS i FROM files)
+    ), im AS (SELECT path, language, i, m.module AS module, m.rel AS rel, m.up AS up FROM (SELECT *, CASE language {" ".join(cases)} END AS m FROM ln) WHERE m IS NOT NULL)"""
+
 
+def _resolved_sql(bases: str, table: dict[str, list[str]], keys: str, tidy: bool) -> str:
+    """edge(keys, dst): of the candidates the first that is a file. bases(keys, language, base)."""
+    ends = "CASE language " + " ".join(f"WHEN '{k}' THEN {sql_list(v)}" for k, v in table.items()) + " ELSE [] END"
+    path = "base || e"
+    if tidy:  # a folder and the step back from it, and steps that stay
+        path = r"regexp_replace(regexp_replace(regexp_replace(" + path + r", '//+', '/', 'g'), '(^|/)\./', '\1', 'g'), '[^/.]+/\.\./', '', 'g')"
+    return f"""try AS (SELECT *, {path} AS dst FROM (SELECT *, unnest({ends}) AS e, unnest(range(len({ends}))) AS pos FROM ({bases}))),
+    edge AS (SELECT {keys}, arg_min(dst, pos) AS dst FROM try WHERE dst IN (SELECT path FROM files) GROUP BY {keys})"""
 
-def _fixture_graph(s):
-    files = _imports(s)
-    return files.select("path"), graph.resolve_p(graph.extract_imports_p(files), files)
 
+_FOLDER_SQL = "regexp_extract(path, '^(.*/)?[^/]*$', 1)"
 
+
+def _edges_p_sql(strict: bool) -> str:
+    python = "replace(module, '.', '/')"
+    other = "regexp_replace(module, '^\\./', '')" if strict else "module"
+    above = "" if strict else "|| repeat('../', greatest(up - 1, 0)::INT) "
+    base = f"CASE WHEN rel THEN {_FOLDER_SQL} {above}|| CASE WHEN language = 'python' THEN {python} ELSE {other} END ELSE {python} END"
+    bases = f"SELECT path, i, language, {base} AS base FROM im WHERE language = 'python' OR rel"
+    return f"WITH {_imports_p_sql()}, {_resolved_sql(bases, fixed.RESOLVE_P, 'path, i', not strict)} SELECT DISTINCT path AS src, dst FROM edge"
+
+
+_MATCHES_B_SQL = "CASE language " + " ".join(f"WHEN '{k}' THEN flatten([{', '.join(chr(40) + 'regexp_extract_all(content, ' + chr(39) + '(?m)' + _quoted(p) + chr(39) + ', 1))' for p in ps)}])" for k, ps in fixed.IMPORTS_B.items()) + " ELSE [] END"
+_IMPORTS_B_SQL = f"{IMPORTS_SQL}, im AS (SELECT path, language, unnest({_MATCHES_B_SQL}) AS module FROM files)"
+
+
+def _edges_b_sql(strict: bool) -> str:
+    plain = f"{_FOLDER_SQL} || module"
+    dots = r"length(regexp_extract(module, '^(\.*)', 1))"
+    python = f"CASE WHEN {dots} > 0 THEN {_FOLDER_SQL} || repeat('../', ({dots} - 1)::INT) ELSE '' END || replace(substr(module, {dots} + 1), '.', '/')"
+    base = plain if strict else f"CASE WHEN language = 'python' THEN {python} ELSE {plain} END"
+    which = "regexp_matches(module, '^[./]')" + ("" if strict else " OR language = 'python'")
+    bases = f"SELECT path, module, language, count(*) AS k, {base} AS base FROM im WHERE {which} GROUP BY ALL"
+    return f"WITH {_IMPORTS_B_SQL}, {_resolved_sql(bases, fixed.RESOLVE_B, 'path, module, k', True)} SELECT src, dst FROM (SELECT path AS src, dst, unnest(range(k)) FROM edge)"
+
+
+@query(f"WITH {_imports_p_sql()} SELECT path, module, rel AS is_relative FROM im")
 def imports_p(s, d):
-    return graph.extract_imports_p(_imports(s)).select("path", "module", "is_relative")
+    return graph.extract_imports_p(inputs.imports(s, d)).select("path", "module", "is_relative")
 
 
+@query(f"WITH {_IMPORTS_B_SQL} SELECT path, module FROM im")
 def imports_b(s, d):
-    return graph.extract_imports_b(_imports(s)).select("path", "module")
+    return graph.extract_imports_b(inputs.imports(s, d)).select("path", "module")
+
 
+@query(_edges_p_sql(True))
+def edges_p_strict(s, d):
+    f = inputs.imports(s, d)
+    return graph.resolve_p(graph.extract_imports_p(f), f)
 
+
+@query(_edges_p_sql(False))
 def edges_p(s, d):
-    return _fixture_graph(s)[1]
+    f = inputs.imports(s, d)
+    return graph.resolve_p(graph.extract_imports_p(f), f, strict=False)
+
+
+@query(_edges_b_sql(True))
+def edges_b_strict(s, d):
+    f = inputs.imports(s, d)
+    return graph.resolve_b(graph.extract_imports_b(f), f)
 
 
+@query(_edges_b_sql(False))
 def edges_b(s, d):
-    return graph.resolve_b(graph.extract_imports_b(_imports(s)), _imports(s))
+    f = inputs.imports(s, d)
+    return graph.resolve_b(graph.extract_imports_b(f), f, strict=False)
 
 
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def page_links(s, d):
-    return graph.links(s.read.parquet(f"{d}/pages.parquet"))
+    return graph.links(inputs.read(s, d, "pages"))
 
 
+@query(f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT dst AS path, 2 AS w FROM e UNION ALL SELECT src, 1 FROM e),
+g AS (SELECT path, sum(w) AS w FROM w GROUP BY path)
+SELECT s_suppkey AS path, round(least(1.0::DOUBLE, coalesce(w, 0)::DOUBLE / (3 * (SELECT count(*) FROM supplier))), 6) AS centrality FROM supplier LEFT JOIN g ON path = s_suppkey""")
 def centrality_p(s, d):
-    return _round(graph.centrality_p(*_supply_edges(s, d)), "path", "centrality")
+    return _round(graph.centrality_p(*inputs.supply_edges(s, d)), "path", "centrality")
 
 
+def _pagerank_sql(rounds: int = 10) -> str:
+    out = f"""WITH {EDGES_SQL}, deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY src),
+    flow AS (SELECT e.src, e.dst, count(*)::DOUBLE / any_value(deg) AS share FROM edges e JOIN deg USING (src) GROUP BY e.src, e.dst),
+    r0 AS (SELECT s_suppkey AS path, 1.0::DOUBLE AS score FROM supplier)"""
+    for i in range(rounds):
+        got = f"(SELECT sum(score * share) FROM flow JOIN r{i} ON r{i}.path = flow.src WHERE flow.dst = s_suppkey)"
+        out += f", r{i + 1} AS (SELECT s_suppkey AS path, 0.15::DOUBLE + 0.85::DOUBLE * coalesce({got}, 0) AS score FROM supplier)"
+    return f"{out} SELECT path, round(score / (SELECT max(score) FROM r{rounds}), 6) AS centrality FROM r{rounds}"
+
+
+@query(_pagerank_sql())
 def pagerank_b(s, d):
-    return _round(graph.pagerank_b(*_supply_edges(s, d)), "path", "centrality")
+    return _round(graph.pagerank_b(*inputs.supply_edges(s, d)), "path", "centrality")
 
 
+@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+r AS (SELECT 1::BIGINT AS path, 0 AS n UNION SELECT b.dst, r.n + 1 FROM r JOIN b ON b.src = r.path WHERE r.n < 2) SELECT DISTINCT path FROM r""")
 def related_files(s, d):
-    _, e = _supply_edges(s, d)
+    _, e = inputs.supply_edges(s, d)
     return graph.related(e, s.range(1).select(F.lit(1).cast("long").alias("path")), 2)
 
 
+# Vectors and blends
+
+
+@query(f"WITH {COSINE_SQL} SELECT doc_id, round(emb, 6) AS score FROM em ORDER BY 2 DESC, 1 LIMIT 20")
+def cosine_topk(s, d):
+    q = inputs.first_vector(s, d)
+    e = inputs.embedded(s, d).withColumn("score", rank.cosine(F.col("vector"), F.array(*map(F.lit, q))))
+    return _round(e, "doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+def _blended(s: SparkSession, d: str, kw: DataFrame) -> DataFrame:
+    """With cosines, importance and a centrality that varies from document to document."""
+    r = rank.embedding_rank(kw.withColumnRenamed("score", "kw"), inputs.embedded(s, d), inputs.first_vector(s, d), "doc_id")
+    return r.withColumn("centrality", (F.col("doc_id") % 7) / 6.0)
+
+
+_HYBRID_SQL = f"""WITH {_keyword_p_sql()}, {COSINE_SQL}, {_importance_p_sql("docs")}, {_importance_b_sql("docs")},
+h AS (SELECT kp.doc_id, kp.path, language, score, bm25, coalesce(emb, 0) AS emb, imp.importance AS p, imb.importance AS b, (kp.doc_id % 7) / 6.0::DOUBLE AS c
+  FROM kp LEFT JOIN em USING (doc_id) JOIN imp USING (path) JOIN imb USING (path))"""
+_NOTES_SQL = r"CASE WHEN regexp_matches(path, '\.(md|mdx|txt|rst)$') THEN 0.6 ELSE 1 END"
+
+
+@query(f"""{_HYBRID_SQL}, x AS (SELECT doc_id, (0.4 * score + 0.4 * emb + 0.2 * (0.7 * p + 0.3 * c)) * {_NOTES_SQL} AS raw FROM h)
+SELECT doc_id, round((CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE raw END)::DOUBLE, 6) AS score FROM x""")
 def hybrid_p(s, d):
-    return _round(rank.hybrid_p(_hybrid_rows(s, d, rank.keyword_rank_p(_docs(s, d), QUERY_P)), True), "doc_id", "score")
+    r = _blended(s, d, rank.keyword_rank_p(inputs.docs(s, d), QUERY_P)).withColumn("importance", T.importance_p(F.col("path")))
+    return _round(rank.hybrid_p(r, True), "doc_id", "score")
 
 
+@query(f"""{_HYBRID_SQL}, x AS (SELECT doc_id, (0.8 * score + 0.2 * (0.7 * p + 0.3 * c)) * {_NOTES_SQL} AS raw FROM h)
+SELECT doc_id, round((CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE raw END)::DOUBLE, 6) AS score FROM x""")
+def hybrid_p_keywords(s, d):
+    """Without vectors."""
+    r = rank.keyword_rank_p(inputs.docs(s, d), QUERY_P).withColumnRenamed("score", "kw").withColumns({"emb": F.lit(0.0), "centrality": (F.col("doc_id") % 7) / 6.0})
+    return _round(rank.hybrid_p(r.withColumn("importance", T.importance_p(F.col("path"))), False), "doc_id", "score")
+
+
+@query(f"""{_HYBRID_SQL} SELECT doc_id, round((0.4 * (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) + 0.4 * emb
+  + 0.2 * (0.6 * b + 0.4 * c) * CASE WHEN language IN ('markdown', 'mdx') THEN 0.6 ELSE 1 END)::DOUBLE, 6) AS score FROM h""")
 def hybrid_b(s, d):
-    r = _hybrid_rows(s, d, rank.bm25(_docs(s, d), QUERY_P).withColumnRenamed("bm25", "score")).withColumn("combined", F.col("importance"))
-    return _round(rank.hybrid_b(r), "doc_id", "score")
+    r = _blended(s, d, rank.bm25(inputs.docs(s, d), QUERY_P).withColumnRenamed("bm25", "score"))
+    return _round(rank.hybrid_b(r.withColumn("combined", 0.6 * T.importance_b(F.col("path")) + 0.4 * F.col("centrality"))), "doc_id", "score")
 
 
-def rerank_p(s, d):
-    k = rank.keyword_rank_p(_docs(s, d), QUERY_P).withColumn("score", F.round("score", 6))
-    return _round(rank.rerank(k, _judged(s, d), "doc_id", 50, 0.4), "doc_id", "reranked", "score")
+def _rerank_sql(n: int, own: float) -> str:
+    return f"""WITH {_keyword_p_sql()}, k AS (SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM kp),
+    j AS (SELECT doc_id, max(quality)::DOUBLE AS rel FROM labels GROUP BY doc_id)
+    SELECT doc_id, rn <= {n} AS reranked, round(CASE WHEN rn <= {n} THEN {own} * score + {1 - own:g} * coalesce(rel, 0.5) ELSE score END, 6) AS score FROM k LEFT JOIN j USING (doc_id)"""
 
 
-def rerank_b(s, d):
-    k = rank.keyword_rank_p(_docs(s, d), QUERY_P).withColumn("score", F.round("score", 6))
-    return _round(rank.rerank(k, _judged(s, d), "doc_id", 20, 0.3), "doc_id", "reranked", "score")
+def _reranked(s: SparkSession, d: str, n: int, own: float) -> DataFrame:
+    judged = inputs.read(s, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("relevance"))
+    return _round(rank.rerank(_scored(s, d), judged, "doc_id", n, own), "doc_id", "reranked", "score")
 
 
-def render_markdown_p(s, d):
-    return render.markdown_p(_greedy_p(s, d)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+@query(_rerank_sql(50, 0.4))
+def rerank_p(s, d):
+    return _reranked(s, d, 50, 0.4)
 
 
-def render_xml_p(s, d):
-    return render.xml_p(_greedy_p(s, d)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+@query(_rerank_sql(20, 0.3))
+def rerank_b(s, d):
+    return _reranked(s, d, 20, 0.3)
 
 
-def render_markdown_b(s, d):
-    return render.markdown_b(_greedy_p(s, d)).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+# The cache: before, it held documents of even number, those of a number divisible by 6 with another text
+
 
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 6 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    old = inputs.docs(s, d).where("doc_id % 2 = 0")
+    return old.select("path", F.sha2(text, 256).alias("hash"), (F.col("doc_id") * 10_000).cast("double").alias("last_accessed"), F.col("doc_id").cast("double").alias("mtime"), (F.col("doc_id") % 5).alias("n_chunks"))
 
-def _cached(s, d):
-    """The cache as it was: documents of even number, those of a number divisible by 6 with another text."""
-    return _docs(s, d).where("doc_id % 2 = 0").withColumn("content", F.when(F.col("doc_id") % 6 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))).select("path", F.sha2("content", 256).alias("hash"), (F.col("doc_id") * 10_000).cast("double").alias("last_accessed"), F.col("doc_id").cast("double").alias("mtime"))
 
+CACHED_SQL = f"""{DOCS_SQL}, ca AS (
+  SELECT doc_id, path, sha256(CASE WHEN doc_id % 6 = 0 THEN content || 'x' ELSE content END) AS hash, (doc_id * 10000)::DOUBLE AS last_accessed, doc_id::DOUBLE AS mtime
+  FROM docs WHERE doc_id % 2 = 0
+)"""
 
+
+@query(f"WITH {CACHED_SQL} SELECT d.path, sha256(content) AS hash FROM docs d JOIN ca ON ca.path = d.path AND ca.hash = sha256(content)")
 def cache_hits(s, d):
-    return cache.hits(_docs(s, d), _cached(s, d)).select("path", "hash")
+    return cache.hits(inputs.docs(s, d), _cached(s, d)).select("path", "hash")
 
 
+@query(f"WITH {CACHED_SQL} SELECT d.path, sha256(content) AS hash FROM docs d WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.path = d.path AND ca.hash = sha256(content))")
 def cache_misses(s, d):
-    return cache.misses(_docs(s, d), _cached(s, d)).select("path", "hash")
+    return cache.misses(inputs.docs(s, d), _cached(s, d)).select("path", "hash")
 
 
+@query(f"WITH {CACHED_SQL} SELECT path, sha256(content) AS hash FROM docs")
 def cache_upsert(s, d):
-    new = cache.misses(_docs(s, d), _cached(s, d)).select("path", "hash", F.lit(0.0).alias("last_accessed"), F.lit(0.0).alias("mtime"))
+    zero = F.lit(0.0)
+    new = cache.misses(inputs.docs(s, d), _cached(s, d)).select("path", "hash", zero.alias("last_accessed"), zero.alias("mtime"), F.lit(1).cast("long").alias("n_chunks"))
     return cache.upsert(_cached(s, d), new).select("path", "hash")
 
 
+@query(f"WITH {CACHED_SQL} SELECT path FROM ca WHERE last_accessed >= 8e6 - 30 * 86400")
 def cache_prune(s, d):
     return cache.prune(_cached(s, d), 8e6, 30).select("path")
 
 
+@query(f"WITH {CACHED_SQL} SELECT d.path FROM docs d JOIN ca ON ca.path = d.path WHERE d.doc_id % 5 > 0 AND d.doc_id % 4 <> 0")
 def cache_fresh_b(s, d):
-    files = _docs(s, d).select("path", (F.col("doc_id") + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).cast("double").alias("mtime"))
-    counts = _docs(s, d).select("path", (F.col("doc_id") % 5).alias("n"))
-    return cache.fresh(files, _cached(s, d), counts).select("path")
-
+    files = inputs.docs(s, d).select("path", (F.col("doc_id") + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).cast("double").alias("mtime"))
+    return cache.fresh(files, _cached(s, d)).select("path")
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || chr(10) || 'more' ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 50 * 86400 ELSE 10 END AS t FROM documents)
+SELECT 'f' || doc_id AS path, sha256(text) AS hash, t::DOUBLE AS last_accessed, CAST(ceil(len(string_split(text, chr(10))) / 200.0) AS BIGINT) AS n_chunks,
+  CAST(strlen(text) AS BIGINT) AS size FROM r WHERE doc_id % 3 = 0""")
+def cache_life(s, d):
+    """All files at time 10, then a third of them 50 days later, some changed, then a clean-up: the cache's files."""
+    store = cache.ChunkCache(s, f"{durable.folder(s)}/cache-{uuid.uuid4().hex}", 8)
+    text = F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text"))
+    files = inputs.read(s, d, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("path"), F.col("text").alias("content"), F.lit(None).cast("string").alias("language"))
+    sections = lambda f: chunk.chunk_b(f).drop("id", "tokens")
+    store.refresh(files.drop("doc_id"), sections, 10)
+    again = inputs.read(s, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("f"), "doc_id").alias("path"), text.alias("content"), F.lit(None).cast("string").alias("language"))
+    store.refresh(again, sections, 50 * 86_400)
+    store.prune(50 * 86_400)
+    chunks = store.chunks().groupBy("path").agg(F.count("*").alias("n"))
+    out = store.files().join(chunks, "path", "left")
+    return out.select("path", "hash", "last_accessed", F.when(F.col("n") == F.col("n_chunks"), F.col("n")).alias("n_chunks"), "size")
 
-_QUERIES = [tokenize_p, tokenize_b, stem_b, doc_freqs, corpus_stats, bm25, keyword_rank_p, keyword_rank_b, pack_greedy, pack_single_b, pack_two_pass_p, result_stats, languages, ignored_p, globs, size_limit, importance_p, importance_b, chunk_sections, chunk_ids_b, chunk_definitions_p, chunk_definitions_p_strict, chunk_definitions_b, cosine_topk, minmax_scores, combine_scores_b, imports_p, imports_b, edges_p, edges_b, page_links, centrality_p, pagerank_b, related_files, hybrid_p, hybrid_b, rerank_p, rerank_b, render_markdown_p, render_xml_p, render_markdown_b, cache_hits, cache_misses, cache_upsert, cache_prune, cache_fresh_b]
 
-
-def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    chunk_cols = "path, start_line, end_line, chunk_type, name"
-    shared = [("b/small.ts", 1, 13, "file", None), ("c/large.py", 1, 450, "class", "Big")]
-    spans = [(1, 4, "header"), (5, 64, "function"), (65, 65, "class"), (66, 150, "function"), (151, 210, "function")]
-    greedy = f"WITH {_keyword_p_sql()}, {RANKED_SQL}, f AS (SELECT {FOLD_SQL.format(cap=BUDGET)} AS r FROM rk WHERE tokens <= {BUDGET}), tk1 AS (SELECT unnest(r.taken) AS rank FROM f), sel AS (SELECT rk.* FROM rk JOIN tk1 USING (rank))"
-    cached = f"{DOCS_SQL}, ca AS (SELECT doc_id, path, sha256(CASE WHEN doc_id % 6 = 0 THEN content || 'x' ELSE content END) AS hash, (doc_id * 10000)::DOUBLE AS last_accessed, doc_id::DOUBLE AS mtime FROM docs WHERE doc_id % 2 = 0)"
-    langs = lambda t: "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.items())
-    base = "list_extract(string_split(path, '/'), -1)"
-    ext_p = f"lower(regexp_extract({base}, '^.+\\.([^.]+)$', 1))"
-    hyb = f"WITH {_keyword_p_sql()}, {COS_SQL}, h AS (SELECT kp.doc_id, kp.path, score, bm25, coalesce(emb, 0) AS emb, 0.5::DOUBLE AS imp FROM kp LEFT JOIN em USING (doc_id))"
-    rer = lambda n, own: f"WITH {_keyword_p_sql()}, k AS (SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM kp), j AS (SELECT doc_id, max(quality)::DOUBLE AS rel FROM labels GROUP BY doc_id) SELECT doc_id, rn <= {n} AS reranked, round(CASE WHEN rn <= {n} THEN {own} * score + {1 - own:g} * coalesce(rel, 0.5) ELSE score END, 6) AS score FROM k LEFT JOIN j USING (doc_id)"
-    text = lambda e, sep: f"{greedy} SELECT sha256(string_agg({e}, {sep} ORDER BY rank)) AS digest, length(string_agg({e}, {sep} ORDER BY rank)) AS n_chars FROM sel"
-    named = "CASE WHEN name <> '' THEN {} ELSE '' END"
-    nl = "chr(10)"
-    return {
-        "tokenize_p": f"WITH {DOCS_SQL} SELECT doc_id, len({_tok_p_sql('content')})::BIGINT AS n_tokens, md5(array_to_string({_tok_p_sql('content')}, ' ')) AS digest FROM docs",
-        "tokenize_b": f"WITH {DOCS_SQL} SELECT doc_id, len({_tok_b_sql('content', True)})::BIGINT AS n_tokens, md5(array_to_string({_tok_b_sql('content', True)}, ' ')) AS digest FROM docs",
-        "stem_b": f"WITH w AS (SELECT DISTINCT unnest({_tok_b_sql('text', stems=False)}) AS word FROM documents) SELECT word, {_stem_sql('word')} AS stem FROM w",
-        "doc_freqs": f"WITH {DOCS_SQL}, t AS (SELECT unnest(list_distinct({_tok_p_sql('content')})) AS term FROM docs) SELECT term, count(*) AS df FROM t GROUP BY term",
-        "corpus_stats": f"WITH {DOCS_SQL} SELECT count(*) AS n_docs, round(avg(len({_tok_p_sql('content')})), 6) AS avgdl FROM docs",
-        "bm25": f"WITH {_bm25_sql()} SELECT doc_id, round(bm25::DOUBLE, 6) AS bm25 FROM bm",
-        "keyword_rank_p": f"WITH {_keyword_p_sql()} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM kp",
-        "keyword_rank_b": f"WITH {_keyword_b_sql()} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM kb",
-        "pack_greedy": f"{greedy} SELECT CAST(rank AS INT) AS rank, path, 1 AS start_line, round(score::DOUBLE, 6) AS score, tokens FROM sel",
-        "pack_single_b": f"WITH {_keyword_p_sql()}, {RANKED_SQL}, f AS (SELECT list_reduce(list_transform(list(struct_pack(k := rank, t := tokens::DOUBLE + 50) ORDER BY rank), lambda x: struct_pack(total := x.t, taken := [x.k])), lambda a, x: CASE WHEN a.total + x.total <= 3800 AND a.total < 3724 THEN struct_pack(total := a.total + x.total, taken := list_concat(a.taken, x.taken)) ELSE a END, struct_pack(total := 0.0::DOUBLE, taken := []::BIGINT[])) AS r FROM rk WHERE tokens + 50 <= 3800), t AS (SELECT unnest(r.taken) AS rank FROM f) SELECT CAST(rank AS INT) AS rank, path, tokens FROM rk JOIN t USING (rank)",
-        "pack_two_pass_p": f"WITH {_keyword_p_sql()}, {RANKED_SQL}, e0 AS (SELECT path AS src, lead(path) OVER (PARTITION BY language ORDER BY doc_id) AS dst FROM rk), f1 AS (SELECT {FOLD_SQL.format(cap=0.7 * BUDGET)} AS r FROM rk WHERE tokens <= {0.7 * BUDGET}), one AS (SELECT rk.* FROM rk JOIN (SELECT unnest(r.taken) AS rank FROM f1) USING (rank)), near AS (SELECT dst AS path FROM e0 WHERE src IN (SELECT path FROM one) AND dst IS NOT NULL UNION SELECT src FROM e0 WHERE dst IN (SELECT path FROM one)), f2 AS (SELECT {FOLD_SQL.format(cap=BUDGET).replace('0.0::DOUBLE, taken := []', 'max(spent)::DOUBLE, taken := []')} AS r FROM rk, (SELECT sum(tokens) AS spent FROM one) WHERE path IN (SELECT path FROM near) AND path NOT IN (SELECT path FROM one)), two AS (SELECT rk.* FROM rk JOIN (SELECT unnest(r.taken) AS rank FROM f2) USING (rank)) SELECT CAST(rank AS INT) AS rank, path, tokens, 1 AS pass FROM one UNION ALL SELECT CAST(rank AS INT), path, tokens, 2 FROM two",
-        "result_stats": f"{greedy} SELECT (SELECT count(*) FROM docs) AS files_scanned, count(DISTINCT path) AS files_included, count(*) AS chunks, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS total_tokens, CAST({BUDGET} AS BIGINT) AS budget FROM sel",
-        "languages": f"WITH {PATHS_SQL}, a AS (SELECT path, {ext_p} AS ext FROM paths), b AS (SELECT path, lower(string_split(path, '.')[-1]) AS ext FROM paths) SELECT a.path, {langs(fixed.LANGUAGES_P).replace('CASE ext', 'CASE a.ext')} END AS lang_p, {langs(fixed.LANGUAGES_B).replace('CASE ext', 'CASE b.ext')} ELSE 'text' END AS lang_b FROM a JOIN b USING (path)",
-        "ignored_p": f"WITH {PATHS_SQL} SELECT path, list_has_any(string_split(path, '/'), {fixed.IGNORE_DIRS}) OR list_contains({fixed.IGNORE_FILES}, {base}) OR list_contains({fixed.BINARY_P}, {ext_p}) AS ignored FROM paths",
-        "globs": f"WITH {PATHS_SQL} SELECT path, path LIKE 'src/%' OR path LIKE '%.py' AS glob_p, regexp_full_match(path, 'src/[^/]*') OR regexp_full_match(path, '(.*/)?[^/]*\\.py') AS glob_b FROM paths",
-        "size_limit": "WITH s AS (SELECT source AS path, string_agg(text, chr(10) ORDER BY doc_id) AS c FROM documents GROUP BY source) SELECT path, strlen(c) <= 1048576 AND len(string_split(c, chr(10))) <= 20000 AS kept, len(string_split(c, chr(10)))::BIGINT AS n_lines FROM s",
-        "importance_p": f"WITH {_importance_p_sql()} SELECT path, round(importance, 6) AS importance FROM imp",
-        "importance_b": f"WITH {_importance_b_sql()} SELECT path, round(importance, 6) AS importance FROM imb",
-        "chunk_sections": f"WITH {_sections_sql()} SELECT path, CAST(s + 1 AS INT) AS start_line, CAST(least(s + 200, len(lines)) AS INT) AS end_line, sha256(array_to_string(lines[s + 1 : CASE WHEN len(lines) <= 200 THEN len(lines) ELSE least(s + 200, len(lines)) END], chr(10))) AS digest FROM cs",
-        "chunk_ids_b": f"WITH {_sections_sql()} SELECT path, CAST(s + 1 AS INT) AS start_line, CAST(least(s + 200, len(lines)) AS INT) AS end_line, sha256(path || ':' || s) AS id, CAST(ceil(length(array_to_string(lines[s + 1 : s + 200], chr(10))) / 4.0) AS BIGINT) AS tokens FROM cs",
-        "chunk_definitions_p": _values(chunk_cols, [("a/big.py", *s, n) for s, n in zip(spans, (None, "alpha", "Beta", "gamma", "delta"), strict=True)] + shared),
-        "chunk_definitions_p_strict": _values(chunk_cols, [("a/big.py", *s, n) for s, n in zip(spans, (None, None, "Beta", None, "async "), strict=True)] + shared),
-        "chunk_definitions_b": _values(chunk_cols, [("a/big.py", 5, 64, "function", "alpha"), ("a/big.py", 65, 150, "class", "Beta"), ("a/big.py", 151, 210, "function", "delta"), ("b/small.ts", 2, 13, "function", "run"), ("c/large.py", 1, 200, "class", "Big"), ("c/large.py", 201, 400, "class", "Big (continued)"), ("c/large.py", 401, 450, "class", "Big (continued)")]),
-        "cosine_topk": f"WITH {COS_SQL} SELECT doc_id, round(emb, 6) AS score FROM em ORDER BY 2 DESC, 1 LIMIT 20",
-        "minmax_scores": f"WITH {_bm25_sql()} SELECT doc_id, round(CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 0.5 ELSE (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END::DOUBLE, 6) AS score FROM bm",
-        "combine_scores_b": f"WITH {_importance_b_sql()}, c AS ({_values('path, centrality', [(p, 0.0) for p in ('pkg/__init__.py', 'pkg/x.ts')])} UNION ALL SELECT * FROM (VALUES ('pkg/core.py', 2 / 21.0), ('pkg/util.py', 2 / 21.0), ('pkg/sub/deep.py', 2 / 21.0), ('web/lib.ts', 2 / 21.0), ('web/app.ts', 1 / 21.0)) v) SELECT path, round((coalesce(importance, 0.5) * 0.6 + coalesce(centrality, 0.5) * 0.4)::DOUBLE, 6) AS combined FROM imb FULL JOIN c USING (path)",
-        "imports_p": _values("path, module, is_relative", [("pkg/core.py", "util", True), ("pkg/core.py", "pkg.sub.deep", False), ("pkg/core.py", "other", True), ("pkg/util.py", "os", False), ("pkg/sub/deep.py", ".", False), ("web/app.ts", "./lib", True), ("web/app.ts", "../pkg/x", True), ("web/lib.ts", "react", False)]),
-        "imports_b": _values("path, module", [("pkg/core.py", ".util"), ("pkg/core.py", "..other"), ("pkg/core.py", "pkg.sub.deep"), ("pkg/util.py", "os"), ("pkg/sub/deep.py", "."), ("web/app.ts", "./lib"), ("web/app.ts", "../pkg/x"), ("web/app.ts", "./lib"), ("web/lib.ts", "react")]),
-        "edges_p": _values("src, dst", [("pkg/core.py", "pkg/util.py"), ("pkg/core.py", "pkg/sub/deep.py"), ("web/app.ts", "web/lib.ts")]),
-        "edges_b": _values("src, dst", [("web/app.ts", "web/lib.ts"), ("web/app.ts", "web/lib.ts"), ("web/app.ts", "pkg/x.ts")]),
-        "page_links": "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages",
-        "centrality_p": f"WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT dst AS path, 2 AS w FROM e UNION ALL SELECT src, 1 FROM e), g AS (SELECT path, sum(w) AS w FROM w GROUP BY path) SELECT s_suppkey AS path, round(least(1.0::DOUBLE, coalesce(w, 0)::DOUBLE / (3 * (SELECT count(*) FROM supplier))), 6) AS centrality FROM supplier LEFT JOIN g ON path = s_suppkey",
-        "pagerank_b": f"WITH {_pagerank_sql()} SELECT path, round(score / (SELECT max(score) FROM r10), 6) AS centrality FROM r10",
-        "related_files": f"WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT 1::BIGINT AS path, 0 AS n UNION SELECT b.dst, r.n + 1 FROM r JOIN b ON b.src = r.path WHERE r.n < 2) SELECT DISTINCT path FROM r",
-        "hybrid_p": f"{hyb}, x AS (SELECT doc_id, 0.4 * score + 0.4 * emb + 0.2 * 0.7 * imp AS raw FROM h) SELECT doc_id, round((CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE raw END)::DOUBLE, 6) AS score FROM x",
-        "hybrid_b": f"{hyb} SELECT doc_id, round((0.4 * (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) + 0.4 * emb + 0.2 * imp)::DOUBLE, 6) AS score FROM h",
-        "rerank_p": rer(50, 0.4),
-        "rerank_b": rer(20, 0.3),
-        "render_markdown_p": text(f"'## ' || path || ':L1-' || end_line || {named.format(chr(39) + ' (file: ' + chr(39) + ' || name || ' + chr(39) + ')' + chr(39))} || {nl} || {nl} || '```' || language || {nl} || content || {nl} || '```'", f"{nl} || {nl} || '---' || {nl} || {nl}"),
-        "render_xml_p": text(f"'<file path=\"' || path || '\" name=\"' || name || '\" type=\"file\" lines=\"1-' || end_line || '\" language=\"' || language || '\">' || {nl} || content || {nl} || '</file>'", f"{nl} || {nl}"),
-        "render_markdown_b": text(f"'## ' || path || {nl} || {nl} || '### ' || CASE WHEN end_line = 1 THEN 'Line 1' ELSE 'Lines 1-' || end_line END || ' (file: ' || name || ')' || {nl} || {nl} || '```' || language || {nl} || content || {nl} || '```' || {nl}", nl),
-        "cache_hits": f"WITH {cached} SELECT d.path, sha256(content) AS hash FROM docs d JOIN ca ON ca.path = d.path AND ca.hash = sha256(content)",
-        "cache_misses": f"WITH {cached} SELECT d.path, sha256(content) AS hash FROM docs d WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.path = d.path AND ca.hash = sha256(content))",
-        "cache_upsert": f"WITH {cached} SELECT path, sha256(content) AS hash FROM docs",
-        "cache_prune": f"WITH {cached} SELECT path FROM ca WHERE last_accessed >= 8e6 - 30 * 86400",
-        "cache_fresh_b": f"WITH {cached} SELECT d.path FROM docs d JOIN ca ON ca.path = d.path WHERE d.doc_id % 5 > 0 AND d.doc_id % 4 <> 0",
-    }

@@ -1,52 +1,66 @@
 """A Python data source for source trees: `spark.read.format("codebase")`. Spark's own file readers leave out names that begin with _ or .
 
-Options: path, profile (P or B), include and exclude (comma-separated globs), forceLarge, dot. Listing is on the driver, reading on
-the executors, so the tree must be on a file system that all of them see.
+Options: path, profile (P or B), include and exclude (comma-separated globs), forceLarge, dot, depth. Folders down to `depth` levels
+are listed on the driver, what lies deeper and the files themselves on the executors, so the tree must be on a file system that
+all of them see. Ignored folders are not entered.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import os
-import re
+from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.functions import fixed
-from skein.functions.text import glob_regex_b
+from skein.functions.patterns import Ignore, fits, glob_b, glob_p
 
 SCHEMA = "path string, content string, language string, size bigint, mtime_ms double"
+PART_FILES = 256  # files in a partition
 
 
-def gitignored(path: str, patterns: list[str]) -> bool:
-    """Whether the patterns of a .gitignore ignore a relative path; the last that fits decides."""
-    out = False
-    for p in patterns:
-        p = p.strip()
-        if not p or p.startswith("#"):
-            continue
-        keep, p = p.startswith("!"), p.removeprefix("!")
-        anchored, p = "/" in p.rstrip("/"), p.strip("/")
-        body = glob_regex_b(p)[6:-2]
-        if re.match(rf"(?s)\A{'' if anchored else '(?:.*/)?'}{body}(?:/.*)?\Z", path):
-            out = not keep
-    return out
-
-
-def wanted(rel: str, profile: str, include: list[str], exclude: list[str], ignores: list[tuple[str, list[str]]]) -> bool:
-    parts, name = rel.split("/"), rel.rsplit("/", 1)[-1]
-    ext = name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
-    if profile == "P":
-        hit = lambda ps: any(fnmatch.fnmatch(rel, p) or fnmatch.fnmatch(name, p) for p in ps)
-        return not (set(parts) & set(fixed.IGNORE_DIRS) or name in fixed.IGNORE_FILES or ext in fixed.BINARY_P) and (not include or hit(include)) and not hit(exclude)
-    if gitignored(rel, fixed.EXCLUDES_B + exclude) or any(rel.startswith(d) and gitignored(rel[len(d) :], ps) for d, ps in ignores):
-        return False
-    return ext not in fixed.BINARY_B and (not include or any(re.match(glob_regex_b(p).replace(r"\z", r"\Z"), rel) for p in include))
+def suffix(name: str) -> str:
+    """What follows the last dot, in small letters; nothing for a name that only begins with one."""
+    return name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
+
+
+class Filter:
+    """Which files and folders of a tree are read. Ignore files found on the way down come as (folder, rules)."""
+
+    def __init__(self, profile: str, include: list[str], exclude: list[str], dot: bool):
+        self.profile, self.include, self.exclude, self.dot = profile, include, exclude, dot
+        self.root = Ignore([*fixed.EXCLUDES_B, *exclude]) if profile == "B" else None
+
+    def with_root(self, lines: list[str]) -> None:
+        """The root's own ignore file comes after the patterns given, and may take them back."""
+        self.root = Ignore([*fixed.EXCLUDES_B, *self.exclude, *lines])
+
+    def enters(self, rel: str, nested: list[tuple[str, Ignore]]) -> bool:
+        name = rel.rsplit("/", 1)[-1]
+        if name[0] == "." and not self.dot:
+            return False
+        if self.profile == "P":
+            return name not in fixed.IGNORE_DIRS
+        return not self.root.folder(rel) and not any(rules.folder(rel.removeprefix(at)) for at, rules in nested)
+
+    def reads(self, rel: str, nested: list[tuple[str, Ignore]]) -> bool:
+        name = rel.rsplit("/", 1)[-1]
+        if name[0] == "." and not self.dot:
+            return False
+        if self.profile == "P":
+            hit = lambda ps: any(fits(glob_p(p), x) for p in ps for x in (rel, name))
+            ignored = name in fixed.IGNORE_DIRS or name in fixed.IGNORE_FILES or suffix(name) in fixed.BINARY_P
+            return not ignored and (not self.include or hit(self.include)) and not hit(self.exclude)
+        if self.root(rel) or any(rules(rel.removeprefix(at)) for at, rules in nested):
+            return False
+        return rel.rsplit(".", 1)[-1].lower() not in fixed.BINARY_B and (not self.include or any(fits(glob_b(p), rel) for p in self.include))
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, files: list[str]):
-        self.root, self.files = root, files
+    """Files to read and folders to go through, with the ignore files above them."""
+
+    def __init__(self, files: list[str], folders: list[str], ignores: list[tuple[str, list[str]]]):
+        self.files, self.folders, self.ignores = files, folders, ignores
 
 
 class CodebaseReader(DataSourceReader):
@@ -56,38 +70,74 @@ class CodebaseReader(DataSourceReader):
         self.include, self.exclude = ([x for x in get(k).split(",") if x] for k in ("include", "exclude"))
         self.force = get("forceLarge", "false").lower() == "true"
         self.dot = get("dot", "true" if self.profile == "P" else "false").lower() == "true"
+        self.depth = int(get("depth", "2"))
+
+    def _filter(self) -> Filter:
+        out = Filter(self.profile, self.include, self.exclude, self.dot)
+        if self.profile == "B" and (lines := self._ignore_file("")):
+            out.with_root(lines)
+        return out
+
+    def _ignore_file(self, folder: str) -> list[str]:
+        try:
+            with open(os.path.join(self.root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                return f.read().split("\n")
+        except OSError:
+            return []
+
+    def _walk(self, folder: str, wanted: Filter, ignores: list[tuple[str, list[str]]], depth: int) -> Iterator[tuple[str, list[str], list[str], list]]:
+        """(folder, files, folders not entered because of the depth, ignore files above), top down; unreadable folders have nothing."""
+        if folder and self.profile == "B" and (lines := self._ignore_file(folder)):
+            ignores = [*ignores, (folder + "/", lines)]
+        nested = [(at, Ignore(lines)) for at, lines in ignores]
+        try:
+            entries = sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name)
+        except OSError:
+            return
+        rel = lambda e: f"{folder}/{e.name}" if folder else e.name
+        files = [rel(e) for e in entries if e.is_file() and wanted.reads(rel(e), nested)]
+        below = [rel(e) for e in entries if e.is_dir(follow_symlinks=False) and wanted.enters(rel(e), nested)]
+        yield folder, files, below if depth == 0 else [], ignores
+        for b in below if depth else []:
+            yield from self._walk(b, wanted, ignores, depth - 1)
 
     def partitions(self):
-        found, ignores = [], []
-        for folder, dirs, files in os.walk(self.root):
-            rel = os.path.relpath(folder, self.root)
-            base = "" if rel == "." else rel.replace(os.sep, "/") + "/"
-            dirs[:] = sorted(d for d in dirs if (self.profile == "B" or d not in fixed.IGNORE_DIRS) and (self.dot or d[0] != "."))
-            if self.profile == "B" and ".gitignore" in files:
-                with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                    ignores.append((base, f.read().split("\n")))
-            found += [base + f for f in sorted(files) if (self.dot or f[0] != ".") and wanted(base + f, self.profile, self.include, self.exclude, ignores)]
-        return [_Part(self.root, found[i : i + 256]) for i in range(0, len(found), 256)] or [_Part(self.root, [])]
+        files, parts = [], []
+        for _, found, below, ignores in self._walk("", self._filter(), [], self.depth):
+            files += found
+            parts += [_Part([], [b], ignores) for b in below]
+        parts += [_Part(files[i : i + PART_FILES], [], []) for i in range(0, len(files), PART_FILES)]
+        return parts or [_Part([], [], [])]
 
     def read(self, partition):
+        wanted = self._filter() if partition.folders else None
         for rel in partition.files:
-            full = os.path.join(partition.root, rel)
-            try:
-                at = os.stat(full)
-                if at.st_size > fixed.MAX_BYTES and not self.force:
-                    continue
-                with open(full, "rb") as f:
-                    text = f.read().decode("utf-8", "replace")
-            except OSError:
-                continue
-            if self.profile == "P":
-                text = text.replace("\r\n", "\n").replace("\r", "\n")
-            if len(text.splitlines() if self.profile == "P" else text.split("\n")) > fixed.MAX_FILE_LINES and not self.force:
-                continue
-            name = rel.rsplit("/", 1)[-1]
-            ext = name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
-            lang = fixed.LANGUAGES_P.get(ext) if self.profile == "P" else fixed.LANGUAGES_B.get(rel.rsplit(".", 1)[-1].lower(), "text")
-            yield rel, text, lang, at.st_size, at.st_mtime * 1000
+            yield from self._row(rel)
+        for folder in partition.folders:
+            for _, files, _, _ in self._walk(folder, wanted, partition.ignores, 1 << 30):
+                for rel in files:
+                    yield from self._row(rel)
+
+    def _row(self, rel: str) -> Iterator[tuple]:
+        """The file's row; none if it can't be read or is too large."""
+        full = os.path.join(self.root, rel)
+        try:
+            at = os.stat(full)
+            if at.st_size > fixed.MAX_BYTES and not self.force:
+                return
+            with open(full, "rb") as f:
+                text = f.read().decode("utf-8", "replace")
+        except OSError:
+            return
+        if self.profile == "P":
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        if len(text.splitlines() if self.profile == "P" else text.split("\n")) > fixed.MAX_FILE_LINES and not self.force:
+            return
+        if self.profile == "P":
+            lang = fixed.LANGUAGES_P.get(suffix(rel.rsplit("/", 1)[-1]))
+        else:
+            lang = fixed.LANGUAGES_B.get(rel.rsplit(".", 1)[-1].lower(), "text")
+        yield rel, text, lang, at.st_size, at.st_mtime * 1000
 
 
 class Codebase(DataSource):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import subprocess
 import time
 from typing import NamedTuple
@@ -17,11 +18,16 @@ class Repo(NamedTuple):
 
 
 def parse(url: str) -> Repo:
-    """https, bare github.com/..., .git, git@github.com:owner/name and owner/name; /tree/branch/subpath. ValueError for anything else."""
-    m = re.fullmatch(r"(?:https?://(?:www\.)?github\.com/|git@github\.com:|github\.com/)?([\w.-]+)/([\w.-]+?)(?:\.git)?(?:/tree/([^/]+)(?:/(.+?))?)?/?", url.strip())
-    if not m:
+    """https://github.com/owner/name, the same without https, git@github.com:owner/name and owner/name, each with or without .git;
+    /tree/branch/subpath is read, other pages of the repository stand for all of it. ValueError for anything else."""
+    rest = re.sub(r"[?#].*$", "", url.strip()).rstrip("/")
+    rest, n = re.subn(r"^(?:https?://)?(?:www\.)?github\.com(?:/|$)|^git@github\.com:", "", rest)
+    parts = [x for x in rest.split("/") if x]
+    if len(parts) < 2 or (not n and len(parts) > 2) or not all(re.fullmatch(r"[\w.-]+", x) for x in parts[:2]):
         raise ValueError(f"not a GitHub repository: {url}")
-    return Repo(*m.groups())
+    owner, name, *page = parts
+    branch = page[1] if len(page) > 1 and page[0] == "tree" else None
+    return Repo(owner, name.removesuffix(".git"), branch, "/".join(page[2:]) or None if branch else None)
 
 
 def is_github(path: str) -> bool:
@@ -31,13 +37,29 @@ def is_github(path: str) -> bool:
     return "github.com" in path or bool(re.fullmatch(r"[\w-]+/[\w-]+", path))
 
 
-def clone(repo: Repo, cache: str, max_age: float = 3600) -> str:
-    """The folder of a shallow clone, fetched again if older than max_age seconds; of its subpath if it has one."""
+def _git(*args: str) -> None:
+    subprocess.run(["git", *args], check=True, capture_output=True)
+
+
+def clone(repo: Repo, cache: str, max_age: float = 3600, profile: str = "P", host: str = "https://github.com") -> str:
+    """The folder of a shallow clone, or of its subpath. One older than max_age seconds is brought up to date: by a pull whose
+    errors don't count (P), or by a fetch and a reset, and a new clone if they fail (B)."""
     at = os.path.join(cache, repo.owner, repo.name)
     git = os.path.join(at, ".git")
-    if not os.path.isdir(git):
+    there = os.path.isdir(git)
+    if there and time.time() - os.path.getmtime(git) > max_age:
+        try:
+            if profile == "P":
+                _git("-C", at, "pull")
+            else:
+                _git("-C", at, "fetch", "--depth", "1")
+                _git("-C", at, "reset", "--hard", "origin/HEAD")
+            os.utime(git)
+        except subprocess.CalledProcessError:
+            if profile == "B":
+                shutil.rmtree(at)
+                there = False
+    if not there:
         branch = ["--branch", repo.branch] if repo.branch else []
-        subprocess.run(["git", "clone", "--depth", "1", "--single-branch", *branch, f"https://github.com/{repo.owner}/{repo.name}.git", at], check=True, capture_output=True)
-    elif time.time() - os.path.getmtime(git) > max_age:
-        subprocess.run(["git", "-C", at, "pull", "--depth", "1"], check=False, capture_output=True)
+        _git("clone", "--depth", "1", "--single-branch", *branch, f"{host}/{repo.owner}/{repo.name}.git", at)
     return os.path.join(at, repo.subpath) if repo.subpath else at

@@ -1,12 +1,15 @@
 """Hand-derived cases: tokens, importance, scores, selection, the source and the engine."""
 
+import fnmatch
 import os
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import patterns
 from skein.functions import text as T
-from skein.operators import cache, graph, rank, select
+from skein.operators import graph, rank, select
 from skein.plans.engine import ContextEngine
 from skein.sources import github
 
@@ -64,6 +67,63 @@ def test_budget_and_github():
     assert github.parse("https://github.com/a/b.git") == ("a", "b", None, None)
     assert github.parse("git@github.com:a/b") == ("a", "b", None, None)
     assert github.parse("github.com/a/b/tree/main/x/y/") == ("a", "b", "main", "x/y")
+    assert github.parse("https://www.github.com/a/b/blob/main/x.py?raw=1") == github.parse("a/b") == ("a", "b", None, None)
+    for bad in ("github.com/a", "https://github.com", "a", "a/b/c", "https://gitlab.com/a/b", "git@github.com:a"):
+        with pytest.raises(ValueError):
+            github.parse(bad)
+
+
+def test_clone(tmp_path):
+    def git(*args):
+        subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True, cwd=tmp_path)
+
+    git("init", "-q", "-b", "main", "o/r.git")
+    (tmp_path / "o/r.git/f").write_text("1")
+    git("-C", "o/r.git", "add", ".")
+    git("-C", "o/r.git", "commit", "-qm", "1")
+    for profile in ("P", "B"):
+        get = lambda age: github.clone(github.Repo("o", "r"), str(tmp_path / profile), age, profile, f"file://{tmp_path}")  # noqa: E731, B023
+        at = get(3600)
+        was = open(f"{at}/f").read()
+        (tmp_path / "o/r.git/f").write_text(was + "+")
+        git("-C", "o/r.git", "commit", "-qam", "2")
+        assert open(f"{get(3600)}/f").read() == was and open(f"{get(-1)}/f").read() == was + "+"
+        if profile == "B":  # what can't be brought up to date is cloned again
+            (tmp_path / "B/o/r/.git/HEAD").write_text("broken")
+            assert open(f"{get(-1)}/f").read() == was + "+"
+
+
+@pytest.mark.parametrize("pattern,fit,miss", [("[ab].py", ["a.py", "x/b.py"], ["c.py", "[ab].py"]), ("[!a]*", ["b", "b/a"], ["a"]), ("x[]]y", ["x]y"], ["xy"]), ("[", ["["], ["a"]), ("a[z-b]", [], ["az", "a"]), ("[a-c]?", ["bq"], ["dq", "b"]), ("*.t[x^]", ["a/b.tx", "c.t^"], ["a.ty"]), ("a&&b[&&]", ["a&&b&"], ["a&&b"])])
+def test_glob_p(spark, pattern, fit, miss):
+    want = {p: fnmatch.fnmatch(p, pattern) or fnmatch.fnmatch(p.rsplit("/", 1)[-1], pattern) for p in fit + miss}
+    assert want == {**dict.fromkeys(fit, True), **dict.fromkeys(miss, False)}
+    got = spark.createDataFrame([(p,) for p in want], "p string").select("p", T.matches_p(F.col("p"), [pattern]))
+    assert {r[0]: r[1] for r in got.collect()} == want and {p: any(patterns.fits(patterns.glob_p(pattern), x) for x in (p, p.rsplit("/", 1)[-1])) for p in want} == want
+
+
+@pytest.mark.parametrize("pattern,fit,miss", [("src/[a-c]*.ts", ["src/b.ts", "src/cab.ts"], ["src/d.ts", "src/a/b.ts"]), ("**/x.{py,js}", ["x.py", "a/b/x.js"], ["a/x.ts"]), ("a\\*b", ["a*b"], ["axb"]), ("[!/]b", ["ab"], ["/b"]), ("a/**", ["a/b", "a/b/c"], ["b/a"]), ("{a,b", ["a", "b"], ["c"])])
+def test_glob_b(spark, pattern, fit, miss):
+    got = spark.createDataFrame([(p,) for p in fit + miss], "p string").select("p", T.matches_b(F.col("p"), [pattern]))
+    want = {**dict.fromkeys(fit, True), **dict.fromkeys(miss, False)}
+    assert {r[0]: r[1] for r in got.collect()} == want and {p: patterns.fits(patterns.glob_b(pattern), p) for p in want} == want
+
+
+RULES = ["*.py[cod]", "\\#hash", "logs/", "/top.txt", "doc/*.html", "{a,b}.txt", "**/deep/x", "all/**", "mid/**/end", "*.log", "!keep.log", "# comment", "  ", "space\\ ", "trail   ", "!logs/in.txt", "q?z", "[!x]only"]
+PATHS = "a.pyc a.py b/c.pyo #hash logs x/logs/f logs/in.txt top.txt a/top.txt doc/i.html x/doc/i.html doc/s/i.html {a,b}.txt a.txt deep/x a/b/deep/x all/1 all/2/3 mid/end mid/1/2/end x.log keep.log s/keep.log space trail qaz q/z xonly yonly logs2/f".split()
+
+
+def test_ignore_files_like_git(tmp_path):
+    """The ignored files are those that git ignores."""
+    (tmp_path / ".gitignore").write_text("\n".join(RULES))
+    files = [p for p in [*PATHS, "space "] if not any(q.startswith(p + "/") for q in PATHS)]
+    for p in files:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    subprocess.run(["git", "init", "-q"], check=True, cwd=tmp_path)
+    out = subprocess.run(["git", "status", "--porcelain", "-uall", "-z"], check=True, cwd=tmp_path, capture_output=True, text=True).stdout
+    kept = {x[3:] for x in out.split("\0") if x} - {".gitignore"}
+    ignored = patterns.Ignore(RULES)
+    assert {p for p in files if not ignored(p)} == kept and 5 < len(kept) < len(files) - 5
 
 
 @pytest.fixture
@@ -93,9 +153,23 @@ def test_engine(spark, tree, profile):
         assert '<file path="util.py"' in ContextEngine(spark, "P", "1k").build(tree, "token", fmt="xml")
 
 
-def test_cache_write(spark, tmp_path):
-    old = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string")
-    new = spark.createDataFrame([("b", "3"), ("c", "4")], "path string, content string")
-    cache.write(cache.upsert(old, new), str(tmp_path / "c"), 4)
-    got = spark.read.parquet(str(tmp_path / "c"))
-    assert sorted((r["path"], r["content"]) for r in got.collect()) == [("a", "1"), ("b", "3"), ("c", "4")]
+def test_source_lists_below_on_executors(spark, tmp_path):
+    """Folders deeper than the driver lists, ignore files in them, folders that are not entered."""
+    for name in ("a/b/c/d/e.py", "a/b/c/d/no.tmp", "a/b/c/.gitignore", "a/node_modules/x/y.js", "a/b/keep/z.py", "a/b/c/d/f/.gitignore", "a/b/c/d/f/g.py", "a/b/c/d/f/h.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("*.tmp\n/d/f/h.py\n!d/f/g.py" if name.endswith("c/.gitignore") else "g.py" if "gitignore" in name else "x")
+    paths = lambda **o: {r["path"] for r in ContextEngine(spark, "B").spark.read.format("codebase").options(path=str(tmp_path), profile="B", **o).load().collect()}
+    ContextEngine(spark, "B").scan(str(tmp_path))
+    want = {"a/b/c/d/e.py", "a/b/keep/z.py"}
+    assert paths() == paths(depth="0") == paths(depth="9") == want
+
+
+def test_python_modules_in_profile_b(spark):
+    files = spark.createDataFrame([("p/a.py", "from .b import x\nimport p.c\nfrom ..q.d import y\nfrom . import b\nimport os", "python"), ("p/b.py", "", "python"), ("p/c/__init__.py", "", "python"), ("q/d.py", "", "python"), ("p/__init__.py", "", "python")], "path string, content string, language string")
+    found = graph.extract_imports_b(files)
+    assert {r["dst"] for r in graph.resolve_b(found, files, strict=False).collect()} == {"p/b.py", "p/c/__init__.py", "q/d.py", "p/__init__.py"}
+    # as paths only the folder itself is one
+    assert [tuple(r) for r in graph.resolve_b(found, files).collect()] == [("p/a.py", "p/__init__.py")]
+    # profile P counts the dots too unless strict
+    up = graph.extract_imports_p(files)
+    assert "q/d.py" in {r["dst"] for r in graph.resolve_p(up, files, strict=False).collect()} and "q/d.py" not in {r["dst"] for r in graph.resolve_p(up, files).collect()}
