@@ -51,3 +51,10 @@ def drop(table: DataFrame) -> None:
     """Deletes the table behind what written() returned; nothing may read it afterwards."""
     spark = table.sparkSession
     _delete(spark, table._skein_table, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a file or two, dealt over the cores: however many splits it has, one row group is read by one task. A scan
+    with more splits than there are cores, as of any large table, stays as it is and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import fixed
 from skein.functions import text as T
+from skein.operators.durable import spread
 
 #: Folders and names that documents are given by their number: all that the path operators tell apart.
 FOLDERS = """src src/core lib/utils tests docs/guide app/api/v1 node_modules/left packages/a/codemods web/__tests__ a/b/c/d/e .git/hooks vendor/x
@@ -24,10 +25,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """The documents, dealt over the cores where the scan has fewer parts than those."""
-    t, cores = read(spark, d, "documents"), spark.sparkContext.defaultParallelism
-    # a small file is one row group, which one task reads however many splits the scan has
-    return t.repartition(cores) if t._jdf.queryExecution().toRdd().getNumPartitions() <= cores else t
+    return spread(read(spark, d, "documents"))
 
 
 def _pick(items: list[str], at: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from skein.functions import fixed
 from skein.functions import text as T
 from skein.operators import cache, chunk, durable, graph, rank, render, select
 from skein.plans import inputs
+from skein.plans.engine import ContextEngine
 from skein.plans.inputs import CODE_SQL, COSINE_SQL, DOCS_SQL, EDGES_SQL, IMPORTS_SQL, PATHS_SQL, sql_list
 
 QUERY_P = "token password the_and example"
@@ -708,3 +710,64 @@ def cache_life(s, d):
     return out.select("path", "hash", "last_accessed", F.when(F.col("n") == F.col("n_chunks"), F.col("n")).alias("n_chunks"), "size")
 
 
+
+
+# A source tree: the documents' files and two ignore files, written to the folder for intermediate tables
+
+IGNORE_FILES = {"": ["*.xyz", "/tools/", "docs/**/README.*", "!docs/**/README.md", "lib/utils/*"], "models": ["index.*", "!index.ts", "[a-c]*.py"]}
+
+
+def _tree(s: SparkSession, d: str) -> str:
+    at = f"{durable.folder(s)}/tree-{uuid.uuid4().hex}".removeprefix("file://")
+    if "://" in at:
+        raise NotImplementedError("the tree is read with Python's own file functions, so the folder must be a mounted one")
+
+    def put(rows) -> None:
+        for r in rows:
+            path = os.path.join(at, r["path"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w", encoding="utf-8", newline="") as f:
+                f.write(r["content"])
+
+    inputs.docs(s, d).select("path", "content").foreachPartition(put)
+    put([{"path": f"{folder}/.gitignore".removeprefix("/"), "content": "\n".join(lines)} for folder, lines in IGNORE_FILES.items()])
+    return at
+
+
+def _scanned(s: SparkSession, d: str, profile: str, **options) -> DataFrame:
+    files = ContextEngine(s, profile).scan(_tree(s, d), **options)
+    return files.select("path", "language", "size", F.md5("content").alias("digest"))
+
+
+def _files_sql(language: str, content: str, kept: str) -> str:
+    return f"WITH {DOCS_SQL}, f AS (SELECT path, content, {_BASE_SQL} AS base, string_split(path, '/') AS parts FROM docs) SELECT path, {language} AS language, CAST(strlen(content) AS BIGINT) AS size, md5({content}) AS digest FROM f WHERE {kept}"
+
+
+_LANG_P_SQL = inputs.language_sql(fixed.LANGUAGES_P, inputs.EXT_P_SQL, "NULL")
+_LANG_B_SQL = inputs.language_sql(fixed.LANGUAGES_B, inputs.EXT_B_SQL, "'text'")
+_KEPT_P_SQL = f"NOT (list_has_any(parts, {sql_list(fixed.IGNORE_DIRS)}) OR list_contains({sql_list(fixed.IGNORE_FILES)}, base) OR list_contains({sql_list(fixed.BINARY_P)}, {inputs.EXT_P_SQL}))"
+_UNIX_SQL = "replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_KEPT_B_SQL = f"""NOT regexp_matches(path, '(^|/)\.') AND NOT list_has_any(parts, {sql_list(x for x in fixed.EXCLUDES_B if "*" not in x)}) AND NOT regexp_matches(base, '\.(min\.js|min\.css|map|lock)$')
+  AND NOT list_contains({sql_list(fixed.BINARY_B)}, {inputs.EXT_B_SQL}) AND NOT suffix(base, '.xyz') AND NOT prefix(path, 'tools/') AND NOT prefix(path, 'lib/utils/')
+  AND NOT (prefix(path, 'docs/') AND prefix(base, 'README.') AND base <> 'README.md') AND NOT (prefix(path, 'models/') AND ((prefix(base, 'index.') AND base <> 'index.ts') OR regexp_matches(base, '^[a-c].*\.py$')))"""
+
+
+@query(_files_sql(_LANG_P_SQL, _UNIX_SQL, _KEPT_P_SQL))
+def scan_p(s, d):
+    return _scanned(s, d, "P")
+
+
+@query(_files_sql(_LANG_P_SQL, _UNIX_SQL, f"{_KEPT_P_SQL} AND (prefix(path, 'src/') OR suffix(path, '.md') OR regexp_matches(path, '^[l-t]') OR regexp_matches(base, '^[l-t]')) AND NOT contains(path, 'test')"))
+def scan_p_globs(s, d):
+    return _scanned(s, d, "P", include=["src/*", "*.md", "[l-t]*"], exclude=["*test*"])
+
+
+@query(_files_sql(_LANG_B_SQL, "content", _KEPT_B_SQL))
+def scan_b(s, d):
+    return _scanned(s, d, "B")
+
+
+@query(_files_sql(_LANG_B_SQL, "content", f"{_KEPT_B_SQL} AND (regexp_full_match(path, 'src/[^/]*/[^/]*') OR regexp_full_match(path, '(.*/)?[^/]*\\.(ts|py)')) AND NOT list_contains(parts, 'server') AND NOT regexp_matches(base, '^main\\.')"))
+def scan_b_globs(s, d):
+    """User excludes are rules of an ignore file, includes are path globs."""
+    return _scanned(s, d, "B", include=["src/*/*", "**/*.{ts,py}"], exclude=["server/", "main.*"])

@@ -8,6 +8,7 @@ all of them see. Ignored folders are not entered.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +25,11 @@ def suffix(name: str) -> str:
     return name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
 
 
+def split_globs(text: str) -> list[str]:
+    """What stands between commas, but for those in braces."""
+    return [x for x in re.split(r",(?![^{}]*\})", text) if x]
+
+
 class Filter:
     """Which files and folders of a tree are read. Ignore files found on the way down come as (folder, rules)."""
 
@@ -67,7 +73,7 @@ class CodebaseReader(DataSourceReader):
     def __init__(self, options):
         get = lambda k, d="": options.get(k, d)
         self.root, self.profile = os.path.abspath(get("path", ".")), get("profile", "P").upper()
-        self.include, self.exclude = ([x for x in get(k).split(",") if x] for k in ("include", "exclude"))
+        self.include, self.exclude = split_globs(get("include")), split_globs(get("exclude"))
         self.force = get("forceLarge", "false").lower() == "true"
         self.dot = get("dot", "true" if self.profile == "P" else "false").lower() == "true"
         self.depth = int(get("depth", "2"))
