@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.durable import spread
+
 from . import chat, decontaminate, langid, media, overlap, packing, quality, sharding, toxicity, urls
 from .learn import fold
 from .tables import table
@@ -21,45 +23,49 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tensors themselves (two bytes for each of the text) are not returned but their digest."""
-    out = media.decode_media(media.encode_media(table(spark, sf_dir, "documents")))
+    out = media.decode_media(media.encode_media(documents(spark, sf_dir)))
     pixels = F.sha2(F.concat_ws("", F.transform("tensors", lambda t: F.sha2(t["rgb"], 256))), 256)
     return out.withColumn("tensors_sha256", pixels).withColumn("n_images", F.size("tensors").cast("long")).drop("tensors")
 
 
 def op2_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.shingle_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+    return overlap.shingle_components(documents(spark, sf_dir), 4, 85, 100)
 
 
 def op3_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op4_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), 4096)
 
 
 def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
     return langid.identify(rows, langid.learnable(docs, 4, 2)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
     return quality.score(rows, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
     return toxicity.score(rows, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.minimax_shards(table(spark, sf_dir, "documents"), 16)
+    out = sharding.minimax_shards(documents(spark, sf_dir), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
