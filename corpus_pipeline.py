@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, overlap, packing, quality, toxicity
-from skein.llm.queries import tokenizer_path
+from skein.llm.queries import documents, tokenizer_path
 from skein.llm.tables import cut, table
 
 
@@ -40,7 +40,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if not i else cut(docs), sf_dir)
     return docs
