@@ -1,5 +1,6 @@
 """The classifiers' parts against independent computations, their odd rows, and the queries' columns on the smallest tables."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -153,6 +154,23 @@ def test_long_texts_in_parts(monkeypatch, size):
         assert np.allclose(np.asarray(a, float), np.asarray(b, float), rtol=1e-4, atol=1e-6)
 
 
+def test_memory_of_long_texts():
+    """A text of 8 MB: the classifiers hold a part of it at a time, its words' hashes take some bytes each."""
+    rng = np.random.default_rng(2)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 40_000, 1_250_000).tolist())
+    data, at = W.text_bytes(pa.array([text]))
+    width = toxicity.FILTERS * len(toxicity.WIDTHS)
+    cnn = toxicity.Model(np.zeros((1 << toxicity.BITS, toxicity.DIM), np.float32), [np.zeros((k, toxicity.DIM, toxicity.FILTERS), np.float32) for k in toxicity.WIDTHS], np.zeros(width), np.zeros(width), 0.0, np.zeros(1), None)
+    runs = {"grams": lambda: langid.grams(data, at), "indicators": lambda: quality.indicators(data, at), "logits": lambda: toxicity.row_logits(cnn, data, at), "hashes": lambda: W.hashed(data, at)}
+    for name, run in runs.items():
+        run()
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90 << 20, name
+
+
 def test_odd_rows_of_classifiers(spark):
     """Repeated rows, null ids, equal texts, columns named like the results, empty tables."""
     rng = np.random.default_rng(6)

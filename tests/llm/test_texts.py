@@ -242,6 +242,19 @@ def test_packing(spark):
     assert len(fill) <= -(-sum(r["length"] for r in got) // 64) + 1
 
 
+def test_packing_odd_rows(spark):
+    """Null and repeated ids, repeated rows, an empty table, columns named like the results."""
+    rows = [(None, "a b"), (None, "a b"), (1, None), (1, "x"), (1, "x"), (2, "")] + [(3, "same text here")] * 50
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, length int, _row int")
+    got = packing.pack_documents(docs, queries.tokenizer_path(), 16).collect()
+    fill = {}
+    for r in got:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(r["piece"] == 0 for r in got) == len(rows) and "_row" not in got[0]
+    assert all([a for a, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 16 for p in fill.values())
+    assert packing.pack_documents(docs.limit(0), queries.tokenizer_path(), 16).count() == 0
+
+
 def test_reduction_keeps_the_optimum():
     """Against exhaustive packing of small instances: the fixed sequences belong to some best packing."""
 
