@@ -36,7 +36,7 @@ PART = 1 << 14  # counters of the sketch in a row
 SKETCH_BITS = 20, 24  # fewest and most counters, as powers of two: one for eight tokens, between the two
 FILTER_BITS = 20, 28  # bits of the filter that picks the texts to read again, likewise: 16 for each text; beyond, all are read
 RANGE_TOKENS = 1 << 22  # fingerprints of a range that are sorted at a time
-BLOCK_ROWS, QUERY_ROWS, BLOCK_TOKENS = 256, 256, 100_000
+BLOCK_ROWS, QUERY_ROWS, BLOCK_TOKENS = 128, 64, 100_000
 RENAMED = 1 << 20  # most names that two sets share: with n sets some n * n / 2**65 are expected
 
 
@@ -324,6 +324,12 @@ def links_in_block(members: list[tuple[int, np.ndarray, int]], queries: list[tup
     return out
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of a's tokens b has too, both ascending without repetition."""
+    at = np.searchsorted(b, a)
+    return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
+
+
 def _in_block(num: int, den: int):
     """Links within a block of a group: of its rows with the pivot, then of the rows not linked to it with the block.
     For groups of several blocks also each row's state, as (sig, null)."""
@@ -333,7 +339,7 @@ def _in_block(num: int, den: int):
         pivot, pivot_tokens = next(((s, t) for s, t, p in zip(pdf["sig"], pdf["tokens"], pdf["copy"], strict=True) if p))
         rows, found = [], []
         for s, t in zip(pdf["sig"], pdf["tokens"], strict=True):
-            both = len(np.intersect1d(t, pivot_tokens, assume_unique=True))
+            both = _common(t.view(np.uint64), pivot_tokens.view(np.uint64))
             linked = den * both >= num * (len(t) + len(pivot_tokens) - both)
             rows.append((s, t, 0 if linked else -1))
             if linked and s != pivot:
@@ -360,6 +366,12 @@ def _across(num: int, den: int):
     return run
 
 
+def _dealt_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows by the keys in as many parts as the session's shuffles have: searching takes time out of proportion to bytes, so small
+    parts are not put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class _Links:
     """What both operators share: rows (doc_id, k1, k2, n, sig) of the documents, stored, and the names of sets with their roots."""
 
@@ -419,7 +431,8 @@ class _Links:
         placed = placed.select("sig", "root", "several", "band", "sub", F.lit(False).alias("copy"))
         copies = bands.select(F.col("pivot").alias("sig"), "root", "several", "band", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(True).alias("copy"))
         placed = cut(placed.unionByName(copies))
-        first = cut(sets.join(placed, "sig").groupBy("root", "band", "sub").applyInPandas(_in_block(num, den), "root bigint, a bigint, b bigint, linked boolean"))
+        by = ["root", "band", "sub"]
+        first = cut(_dealt_by(sets.join(placed, "sig"), by).groupBy(*by).applyInPandas(_in_block(num, den), "root bigint, a bigint, b bigint, linked boolean"))
         links = first.where("b is not null").select("a", "b")
         return links.union(self._between_blocks(sets, placed.where("several and not copy").drop("several", "copy"), first.where("b is null"), bands.where("several").select("root", "band", "subs")))
 
@@ -436,7 +449,8 @@ class _Links:
         asks = asks.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where("_to <> sub or to <> band")
         asks = asks.select("root", "sig", "linked", F.lit(True).alias("asks"), F.col("to").alias("band"), F.col("_to").alias("sub"), F.col("band").alias("from"), F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"))
         rows = sets.join(asked.unionByName(asks), "sig")
-        return rows.groupBy("root", "band", "sub", "from", "part").applyInPandas(_across(self.num, self.den), "a bigint, b bigint")
+        by = ["root", "band", "sub", "from", "part"]
+        return _dealt_by(rows, by).groupBy(*by).applyInPandas(_across(self.num, self.den), "a bigint, b bigint")
 
 
 def shingle_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
