@@ -747,7 +747,7 @@ _LANG_P_SQL = inputs.language_sql(fixed.LANGUAGES_P, inputs.EXT_P_SQL, "NULL")
 _LANG_B_SQL = inputs.language_sql(fixed.LANGUAGES_B, inputs.EXT_B_SQL, "'text'")
 _KEPT_P_SQL = f"NOT (list_has_any(parts, {sql_list(fixed.IGNORE_DIRS)}) OR list_contains({sql_list(fixed.IGNORE_FILES)}, base) OR list_contains({sql_list(fixed.BINARY_P)}, {inputs.EXT_P_SQL}))"
 _UNIX_SQL = "replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-_KEPT_B_SQL = f"""NOT regexp_matches(path, '(^|/)\.') AND NOT list_has_any(parts, {sql_list(x for x in fixed.EXCLUDES_B if "*" not in x)}) AND NOT regexp_matches(base, '\.(min\.js|min\.css|map|lock)$')
+_KEPT_B_SQL = rf"""NOT regexp_matches(path, '(^|/)\.') AND NOT list_has_any(parts, {sql_list(x for x in fixed.EXCLUDES_B if "*" not in x)}) AND NOT regexp_matches(base, '\.(min\.js|min\.css|map|lock)$')
   AND NOT list_contains({sql_list(fixed.BINARY_B)}, {inputs.EXT_B_SQL}) AND NOT suffix(base, '.xyz') AND NOT prefix(path, 'tools/') AND NOT prefix(path, 'lib/utils/')
   AND NOT (prefix(path, 'docs/') AND prefix(base, 'README.') AND base <> 'README.md') AND NOT (prefix(path, 'models/') AND ((prefix(base, 'index.') AND base <> 'index.ts') OR regexp_matches(base, '^[a-c].*\.py$')))"""
 
