@@ -35,13 +35,13 @@ class ContextEngine:
         self.stats: dict | None = None  # of the last build: files scanned and included, chunks, tokens, budget
 
     def scan(self, path: str, include: list[str] = (), exclude: list[str] = (), force_large: bool = False) -> DataFrame:
-        """Files of a folder, or of a GitHub repository's shallow clone."""
-        from skein.sources.codebase import Codebase
+        """Files of a folder, or of a GitHub repository's shallow clone, as they are listed now."""
+        from skein.sources import codebase
 
         if github.is_github(path):
             path = github.clone(github.parse(path), self.clones, profile=self.profile)
-        self.spark.dataSource.register(Codebase)
-        return self.spark.read.format("codebase").options(path=path, profile=self.profile, include=",".join(include), exclude=",".join(exclude), forceLarge=str(force_large).lower()).load()
+        self.spark.dataSource.register(codebase.Codebase)
+        return codebase.scan(self.spark, {"path": path, "profile": self.profile, "include": ",".join(include), "exclude": ",".join(exclude), "forceLarge": str(force_large).lower()})
 
     def graph(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Edges and (path, centrality)."""

@@ -3,21 +3,32 @@
 Options: path, profile (P or B), include and exclude (comma-separated globs), forceLarge, dot, depth. Folders down to `depth` levels
 are listed on the driver, what lies deeper and the files themselves on the executors, so the tree must be on a file system that
 all of them see. Ignored folders are not entered.
+
+A data source plans its partitions once, so a task keeps whatever lies below its folders. scan() returns the same rows for trees of any
+shape: a level of folders is a job, and what it finds is dealt anew.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.functions import fixed
-from skein.functions.patterns import Ignore, fits, glob_b, glob_p
+from skein.functions.patterns import Ignore, glob_b, glob_p
+from skein.operators.durable import written
 
 SCHEMA = "path string, content string, language string, size bigint, mtime_ms double"
-PART_FILES = 256  # files in a partition
+PART_FILES, PART_ENTRIES = 1024, 8192  # files to read (or, for the data source, folders to go through), entries of a level in a partition
+BATCH_ROWS, BATCH_CHARS = 1024, 8 << 20  # of a batch of files
+FEW = 2048  # files and folders of a level that the driver goes through itself
+LEVEL = "path binary, kind string, above array<binary>"  # names need not be UTF-8; kind: file or folder (not yet filtered), read (a file to read)
 
 
 def suffix(name: str) -> str:
@@ -35,6 +46,8 @@ class Filter:
 
     def __init__(self, profile: str, include: list[str], exclude: list[str], dot: bool):
         self.profile, self.include, self.exclude, self.dot = profile, include, exclude, dot
+        regexes = lambda ps: [re.compile(f"(?s:{(glob_p if profile == 'P' else glob_b)(p)})") for p in ps]
+        self.included, self.excluded = regexes(include), regexes(exclude if profile == "P" else [])
         self.root = Ignore([*fixed.EXCLUDES_B, *exclude]) if profile == "B" else None
 
     def with_root(self, lines: list[str]) -> None:
@@ -54,12 +67,12 @@ class Filter:
         if name[0] == "." and not self.dot:
             return False
         if self.profile == "P":
-            hit = lambda ps: any(fits(glob_p(p), x) for p in ps for x in (rel, name))
+            hit = lambda rs: any(r.fullmatch(x) for r in rs for x in (rel, name))
             ignored = name in fixed.IGNORE_DIRS or name in fixed.IGNORE_FILES or suffix(name) in fixed.BINARY_P
-            return not ignored and (not self.include or hit(self.include)) and not hit(self.exclude)
+            return not ignored and (not self.included or hit(self.included)) and not hit(self.excluded)
         if self.root(rel) or any(rules(rel.removeprefix(at)) for at, rules in nested):
             return False
-        return rel.rsplit(".", 1)[-1].lower() not in fixed.BINARY_B and (not self.include or any(fits(glob_b(p), rel) for p in self.include))
+        return rel.rsplit(".", 1)[-1].lower() not in fixed.BINARY_B and (not self.included or any(r.fullmatch(rel) for r in self.included))
 
 
 class _Part(InputPartition):
@@ -69,6 +82,21 @@ class _Part(InputPartition):
         self.files, self.folders, self.ignores = files, folders, ignores
 
 
+FILES = pa.schema([("path", pa.string()), ("content", pa.string()), ("language", pa.string()), ("size", pa.int64()), ("mtime_ms", pa.float64())])
+ENTRIES = pa.schema([("path", pa.binary()), ("kind", pa.string()), ("above", pa.list_(pa.binary()))])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _kind(entry: os.DirEntry) -> str | None:
+    try:
+        return "file" if entry.is_file() else "folder" if entry.is_dir(follow_symlinks=False) else None
+    except OSError:  # a link to itself
+        return None
+
+
 class CodebaseReader(DataSourceReader):
     def __init__(self, options):
         get = lambda k, d="": options.get(k, d)
@@ -101,8 +129,8 @@ class CodebaseReader(DataSourceReader):
         except OSError:
             return
         rel = lambda e: f"{folder}/{e.name}" if folder else e.name
-        files = [rel(e) for e in entries if e.is_file() and wanted.reads(rel(e), nested)]
-        below = [rel(e) for e in entries if e.is_dir(follow_symlinks=False) and wanted.enters(rel(e), nested)]
+        files = [rel(e) for e in entries if _kind(e) == "file" and wanted.reads(rel(e), nested)]
+        below = [rel(e) for e in entries if _kind(e) == "folder" and wanted.enters(rel(e), nested)]
         yield folder, files, below if depth == 0 else [], ignores
         for b in below if depth else []:
             yield from self._walk(b, wanted, ignores, depth - 1)
@@ -111,18 +139,54 @@ class CodebaseReader(DataSourceReader):
         files, parts = [], []
         for _, found, below, ignores in self._walk("", self._filter(), [], self.depth):
             files += found
-            parts += [_Part([], [b], ignores) for b in below]
+            parts += [_Part([], below[i : i + PART_FILES], ignores) for i in range(0, len(below), PART_FILES)]
         parts += [_Part(files[i : i + PART_FILES], [], []) for i in range(0, len(files), PART_FILES)]
         return parts or [_Part([], [], [])]
 
     def read(self, partition):
         wanted = self._filter() if partition.folders else None
-        for rel in partition.files:
-            yield from self._row(rel)
-        for folder in partition.folders:
-            for _, files, _, _ in self._walk(folder, wanted, partition.ignores, 1 << 30):
-                for rel in files:
-                    yield from self._row(rel)
+
+        def files() -> Iterator[str]:
+            yield from partition.files
+            for folder in partition.folders:
+                for _, found, _, _ in self._walk(folder, wanted, partition.ignores, 1 << 30):
+                    yield from found
+
+        yield from self.batches(files())
+
+    def batches(self, files: Iterable[str]) -> Iterator[pa.RecordBatch]:
+        """The files' rows; a batch holds BATCH_CHARS and a file more at most."""
+        rows, chars = [], 0
+        for rel in files:
+            for row in self._row(rel):
+                rows.append(row)
+                chars += len(row[1])
+            if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                yield _batch(rows, FILES)
+                rows, chars = [], 0
+        if rows:
+            yield _batch(rows, FILES)
+
+    def step(self, level: Iterable[tuple[str, str, list[str]]]) -> Iterator[tuple[str, str, list[str]]]:
+        """Of entries (path, kind, folders above with ignore files) those files that are to be read, and what is in those folders that are entered."""
+        wanted = self._filter()
+        rules = lru_cache(1 << 10)(lambda at: Ignore(self._ignore_file(at)))
+        for rel, kind, above in level:
+            nested = [(at + "/", rules(at)) for at in above]
+            if kind == "file":
+                if wanted.reads(rel, nested):
+                    yield rel, "read", []
+            elif not rel or wanted.enters(rel, nested):
+                full = os.path.join(self.root, rel)
+                if rel and self.profile == "B" and os.path.isfile(os.path.join(full, ".gitignore")):
+                    above = [*above, rel]
+                try:
+                    with os.scandir(full) as entries:
+                        for e in entries:
+                            if found := _kind(e):
+                                yield f"{rel}/{e.name}" if rel else e.name, found, above
+                except OSError:  # unreadable folders have nothing
+                    continue
 
     def _row(self, rel: str) -> Iterator[tuple]:
         """The file's row; none if it can't be read or is too large."""
@@ -156,3 +220,49 @@ class Codebase(DataSource):
 
     def reader(self, schema):
         return CodebaseReader(self.options)
+
+
+def _encoded(entry: tuple[str, str, list[str]]) -> tuple[bytes, str, list[bytes]]:
+    return os.fsencode(entry[0]), entry[1], [os.fsencode(x) for x in entry[2]]
+
+
+def _dealt(rows: DataFrame, n: int, part: int) -> DataFrame:
+    """n rows over tasks of about `part`, on each core at least one."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // part))
+
+
+def scan(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """The rows of format("codebase"). Levels are listed here while they hold up to FEW entries; from the first wider one on they are
+    dealt over the executors, each one anew. The files to read are stored, and dealt before they are read."""
+    reader = CodebaseReader(options)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[tuple[str, str, list[str]]]:
+            for b in batches:
+                for path, kind, above in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    yield os.fsdecode(path), kind, [os.fsdecode(x) for x in above]
+
+        rows = []
+        for e in reader.step(entries()):
+            rows.append(_encoded(e))
+            if len(rows) >= 1 << 13:
+                yield _batch(rows, ENTRIES)
+                rows = []
+        if rows:
+            yield _batch(rows, ENTRIES)
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from reader.batches(os.fsdecode(x) for b in batches for x in b.column(0).to_pylist())
+
+    level, found = [("", "folder", [])], []
+    while level and len(out := list(islice(reader.step(level), FEW + 1))) <= FEW:
+        found += [e for e in out if e[1] == "read"]
+        level = [e for e in out if e[1] != "read"]
+    tables, n = [spark.createDataFrame([_encoded(e) for e in found], LEVEL)], len(found)
+    rest, left = spark.createDataFrame([_encoded(e) for e in level], LEVEL), len(level)
+    while left:
+        table = written(_dealt(rest, left, PART_ENTRIES).mapInArrow(step, LEVEL))
+        counts = {r[0]: r[1] for r in table.groupBy("kind").count().collect()}
+        tables.append(table.where("kind = 'read'"))
+        rest, left, n = table.where("kind != 'read'"), counts.get("file", 0) + counts.get("folder", 0), n + counts.get("read", 0)
+    return _dealt(reduce(DataFrame.union, tables).select("path"), n, PART_FILES).mapInArrow(contents, SCHEMA)
