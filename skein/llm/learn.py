@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import bounded
+from .tables import BROADCAST_ROWS, bounded
 from .words import trimmed
 
 
@@ -39,11 +39,12 @@ def _within(rows: DataFrame, most_bytes: int) -> DataFrame:
     return rows.sparkSession.createDataFrame(drawn, rows.select("doc_id", "y").schema)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int, most_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """Sampled (y, text) for 0/1 labels outside the test fold, and how many labelled documents of docs each class has.
+def labelled_split(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int, most_bytes: int | None = None) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Sampled (y, text) for 0/1 labels outside the test fold, all other labelled rows as (doc_id, y, text), and how many labelled
+    documents of docs each class has.
 
-    Of repeated labels of a document the largest counts, and of rows that share a doc_id one is read. At most 2 * per_class ids
-    are sampled, so they are broadcast. With most_bytes fewer are drawn where a class's texts are longer than that together.
+    Of repeated labels of a document the largest counts, and of sampled rows that share a doc_id one is read; the others come as they are.
+    At most 2 * per_class ids are sampled, so they are broadcast. With most_bytes fewer are drawn where a class's texts are longer than that together.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != test_fold)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where("doc_id is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -52,7 +53,15 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, t
     texts = bounded(docs).select("doc_id", "text")
     if most_bytes is not None:
         ids = _within(one_each(texts.join(F.broadcast(ids), "doc_id"), "doc_id", "y"), most_bytes)
-    return one_each(texts.join(F.broadcast(ids), "doc_id"), "doc_id", "y").select("y", "text"), counts
+    others = known.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")
+    rest = texts.join(F.broadcast(others) if sum(counts.values()) <= BROADCAST_ROWS else others, "doc_id").select("doc_id", "y", "text")
+    return one_each(texts.join(F.broadcast(ids), "doc_id"), "doc_id", "y").select("y", "text"), rest, counts
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, test_fold: int, per_class: int, most_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """labelled_split()'s sample and counts."""
+    texts, _, counts = labelled_split(docs, labels, label, folds, test_fold, per_class, most_bytes)
+    return texts, counts
 
 
 def one_each(rows: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A word's embedding is the sum of hashed rows for the word and for its first 4, 5 and 6 bytes. Filters of several
 widths run over the words; each is max-pooled over the text, and a logistic layer reads the maxima. The language comes from
-the text alone (langid); each language's threshold is chosen on held-back rows and moved to a score of 0.5.
+the text alone (langid); each language's threshold is chosen on all labelled rows that the network didn't learn from and moved to a
+score of 0.5.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import langid
-from .learn import add_scores, labelled_texts, sigmoid
+from .learn import add_scores, labelled_split, sigmoid
 from .words import SLICE_BYTES, Words, cuts, slices, text_bytes, trim, trimmed, words
 
 BITS, DIM, WIDTHS, FILTERS = 15, 8, (1, 2, 3), 8
@@ -25,6 +26,7 @@ PER_CLASS = 2500  # labelled rows of each class learned from
 MOST_BYTES = 16 << 20  # of text of each class learned from, and one row more: of long rows fewer are drawn, and all are whole
 EPOCHS, BATCH = 8, 32
 THRESHOLD = 0.5
+GRID, FAR = 256, 64  # steps of a logit in which rows are counted for the thresholds; logits beyond FAR count as FAR
 
 
 class Model(NamedTuple):
@@ -178,17 +180,19 @@ def train(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
     return m._replace(out_bias=float(out_bias[0]))
 
 
-def _cuts(logit: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: np.ndarray, langs: int) -> np.ndarray:
+def _cuts(logit: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: np.ndarray, langs: int, n: np.ndarray | None = None) -> np.ndarray:
     """For each language the threshold with the least weighted error on held-back rows, in the middle of the best gap; with under
-    five rows of either class, the threshold over all languages."""
+    five rows of either class, the threshold over all languages. An item stands for n rows, weight is that of all of them."""
+    n = np.ones(len(y), np.int64) if n is None else n
 
     def best(rows: np.ndarray) -> float:
         order = np.argsort(logit[rows])
         x, t, w = logit[rows][order], y[rows][order], weight[rows][order]
         # below the threshold: toxic rows are errors; above: clean ones
         errors = np.concatenate([[0], np.cumsum(np.where(t == 1, w, -w))]) + w[t == 0].sum()
-        low = np.flatnonzero(errors <= errors.min() + 1e-9)
         edges = np.concatenate([[x[0] - 2], x, [x[-1] + 2]])
+        errors[edges[1:] == edges[:-1]] = np.inf  # equal logits can't be parted
+        low = np.flatnonzero(errors <= errors.min() + 1e-9 * max(1, w.sum()))
         i = low[np.argmax(edges[low + 1] - edges[low])]
         return float((edges[i] + edges[i + 1]) / 2)
 
@@ -196,23 +200,44 @@ def _cuts(logit: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: np.ndarray
     out = np.full(langs + 1, every)
     for k in range(langs):
         rows = np.flatnonzero(lang == k)
-        if min((y[rows] == 0).sum(), (y[rows] == 1).sum()) >= 5:
+        if min(n[rows][y[rows] == 0].sum(), n[rows][y[rows] == 1].sum()) >= 5:
             out[k] = best(rows)
     return out
 
 
+def _step(logit: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(logit, -FAR, FAR) * GRID).astype(np.int32)
+
+
+def _counted(rest: DataFrame, model: Model) -> np.ndarray:
+    """How many of rest(doc_id, y, text) fall into each step, by language and class: int64 rows (lang, y, step, n). Rows are
+    scored where they are, and of those that share a doc_id one counts, as in learn.one_each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(3)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(_languages(model.lang, texts), pa.int32()), pa.array(_step(_text_logits(model, texts)))], ["doc_id", "h", "y", "lang", "step"])
+
+    out = T.StructType([rest.schema["doc_id"], *(T.StructField(c, t) for c, t in (("h", T.LongType()), ("y", T.IntegerType()), ("lang", T.IntegerType()), ("step", T.IntegerType())))])
+    steps = rest.select("doc_id", F.xxhash64("text").alias("h"), F.col("y").cast("int").alias("y"), "text").mapInArrow(trimmed(run), out)
+    one = steps.groupBy("doc_id").agg(F.min_by(F.struct("lang", "y", "step"), "h").alias("r"))
+    got = one.groupBy("r.lang", "r.y", "r.step").count().collect()
+    return np.array([tuple(r) for r in got], np.int64).reshape(-1, 4)
+
+
 def _languages(lang: langid.Model | None, texts: pa.Array) -> np.ndarray:
     return langid.predict(lang, texts)[0] if lang else np.full(len(texts), -1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, test_fold: int = 0, per_class: int = PER_CLASS) -> Model:
-    """Learns from labelled documents outside the test fold: at most per_class of each class, and about MOST_BYTES of their text.
+    """Learns from labelled documents outside the test fold. The network learns from three quarters of a sample of at most per_class of
+    each class, and about MOST_BYTES of their text; the thresholds come from all the other labelled documents, however many there are.
 
     docs(doc_id, text, lang): lang serves to learn the language model. With one class or none nothing counts as toxic
     unless all labels say so.
     """
     lang = langid.fit(langid.learnable(docs, folds, test_fold))
-    texts, counts = labelled_texts(docs, labels, label, folds, test_fold, per_class, MOST_BYTES)
+    texts, rest, counts = labelled_split(docs, labels, label, folds, test_fold, per_class, MOST_BYTES)
 
     def featured(batches):
         for b in batches:
@@ -241,19 +266,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     some = [r for r, h in zip(rows, held, strict=True) if h]
     ptr = np.concatenate([[0], np.cumsum([len(r) for r in some])])
     logit = np.concatenate([logits(model, np.concatenate(some[i:j]), ptr[i : j + 1] - ptr[i]) for i, j in slices(ptr, 1 << 16)])
-    cuts = _cuts(logit, y[held], weight[held], tongue[held], langs)
+    left = sum(counts.values()) - len(y)  # labelled rows that weren't drawn
     del rows, some
     trim()
-    return model._replace(cuts=cuts, lang=lang)
+    model = model._replace(lang=lang)
+    own = np.stack([tongue[held], y[held].astype(np.int64), _step(logit), np.ones(int(held.sum()), np.int64)], axis=1)
+    lang_of, y_of, step, n = np.concatenate([own, _counted(rest, model)] if left else [own]).T
+    # a class weighs as much as in training, dealt over all rows it has here
+    each = {c: float(weight[y == c].sum()) / max(1, int(n[y_of == c].sum())) for c in (0, 1)}
+    cuts = _cuts((step + 0.5) / GRID, y_of, n * np.where(y_of == 1, each[1], each[0]), lang_of, langs, n)
+    return model._replace(cuts=cuts)
 
 
-def scores(m: Model, texts: pa.Array) -> np.ndarray:
-    """Probability of label 1 of each text, 0.5 at its language's threshold; null counts as empty."""
-    out, tongue = np.zeros(len(texts)), _languages(m.lang, texts)
+def _text_logits(m: Model, texts: pa.Array) -> np.ndarray:
+    out = np.zeros(len(texts))
     data, at = text_bytes(texts)
     for i, j in slices(at):
         out[i:j] = row_logits(m, data[at[i] : at[j]], at[i : j + 1] - at[i])
-    return sigmoid(out - m.cuts[tongue])
+    return out
+
+
+def scores(m: Model, texts: pa.Array) -> np.ndarray:
+    """Probability of label 1 of each text, 0.5 at its language's threshold; null counts as empty."""
+    return sigmoid(_text_logits(m, texts) - m.cuts[_languages(m.lang, texts)])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
